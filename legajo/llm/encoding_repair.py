@@ -124,7 +124,7 @@ def _single(word: str) -> tuple[tuple[str, str, bool], ...]:
         page, out, letters, strong, ok = PAGES[read], [], 0, False, True
         for i, c in enumerate(word):
             prev, nxt = word[i - 1 : i] if i else "", word[i + 1 : i + 2]
-            if c < "\x80" or c in SPANISH and not (c.isupper() and prev.islower()):
+            if c < "\x80" or c in SPANISH and not (c.isupper() and (prev.islower() or prev.isalpha() and nxt.islower())):
                 out.append(c)
                 continue
             b = page.get(c)
@@ -158,7 +158,7 @@ def _single(word: str) -> tuple[tuple[str, str, bool], ...]:
     return tuple(found)
 
 
-ODD = re.compile(r"[^\s\x00-\x7f" + ORDINARY + r"]|[a-záéíóúñ][ÁÉÍÓÚÜÑ]")
+ODD = re.compile(r"[^\s\x00-\x7f" + ORDINARY + r"]|[a-záéíóúñ][ÁÉÍÓÚÜÑ]|[A-Z][ÁÉÍÓÚÜÑ][a-z]")
 WORD = re.compile(r"\S+")
 #: UTF-8 leads of accented letters whose continuation byte was dropped on the way.
 HEADLESS = re.compile(r"(?<=[a-záéíóúñ])[ÃÂ](?![\x80-\xbf])|(?<=[A-ZÑ]{2})Ã(?=[B-DF-NP-RT-Z]|A\b)|(?<=[a-z])├(?![\w])")
@@ -226,7 +226,14 @@ def repair(text: str) -> tuple[str, int, int, str]:
 
 
 #: Superset of what the operator can act on; keeps clean rows out of Python.
-SUSPECT = r"[^\x00-\x7fáéíóúüñÁÉÍÓÚÜÑ«»¿¡°º\x{ad}\x{a0}©–•●📎]|[a-záéíóúñ][ÁÉÍÓÚÜÑ]"
+SUSPECT = r"[^\x00-\x7fáéíóúüñÁÉÍÓÚÜÑ«»¿¡°º\x{ad}\x{a0}©–•●📎]|[a-záéíóúñ][ÁÉÍÓÚÜÑ]|[A-Z][ÁÉÍÓÚÜÑ][a-z]"
+_SUSPECT = re.compile(SUSPECT.replace("x{ad}", "xad").replace("x{a0}", "xa0"))
+
+
+def suspicious(text: str) -> bool:
+    """Whether repair() could change the text or report a loss."""
+    return _SUSPECT.search(text) is not None
+
 
 
 def repaired(chunks: DataFrame, key: str = "id", text: str = "texto") -> DataFrame:
