@@ -1,0 +1,182 @@
+"""Problem 6: template residue, filler, error pages and demands for scripts.
+
+One multi-pattern automaton holds the phrases (several languages) of error, blocking, session, maintenance, filler and
+script-required texts, and the delimiters that open template fields.  A text is excluded when the phrases cover a high
+share of its readable length; a legal text that merely speaks of such things is covered little.  A field left unfilled
+counts wherever it stands: the automaton finds its delimiter and the field's own grammar verifies it.
+"""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+from collections.abc import Iterator
+from functools import lru_cache
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import map_text, table
+
+#: Share of a text's letters that phrases must cover.
+COVERAGE = 0.4
+
+# Phrases by kind, folded to lower case without accents; matched on word boundaries.
+PHRASES = {
+    "error": (
+        "pagina no encontrada", "documento no encontrado", "recurso no encontrado", "archivo no encontrado", "la pagina que busca no existe", "el documento solicitado no existe", "o fue trasladado", "no existe o fue movido", "error interno del servidor", "error interno", "lo sentimos", "no pudimos atender su consulta", "intente mas tarde", "intente de nuevo mas tarde", "intentelo de nuevo",
+        "ha ocurrido un error", "se ha producido un error", "ocurrio un error inesperado", "error en la aplicacion", "servicio no disponible", "servicio temporalmente no disponible", "el servicio no esta disponible", "acceso denegado", "acceso prohibido", "acceso no autorizado", "usted no tiene permisos", "no tiene permiso para acceder", "no tiene permisos para ver esta pagina", "solicitud incorrecta",
+        "tiempo de espera agotado", "puerta de enlace incorrecta", "demasiadas solicitudes", "referencia", "not found", "the requested url was not found on this server", "the requested document", "page not found", "file not found", "internal server error", "bad gateway", "gateway timeout", "service unavailable", "service temporarily unavailable", "forbidden", "access denied", "unauthorized", "bad request", "too many requests",
+        "you don t have permission to access", "you do not have permission to access", "something went wrong", "an error occurred", "an unexpected error", "please try again later", "pagina nao encontrada", "acesso negado", "erro interno do servidor", "servico indisponivel", "ocorreu um erro", "tente novamente mais tarde", "http", "error", "warning include", "warning", "fatal error", "failed to open stream",
+        "no such file or directory", "on line", "in srv web ver php on line", "undefined variable", "undefined index", "uncaught exception", "traceback most recent call last", "java lang nullpointerexception", "nullpointerexception", "stack trace", "ora", "sql syntax", "you have an error in your sql syntax", "no se pudo abrir la conexion", "no se pudo conectar", "microservicio normas", "select texto from normas where id", "could not connect", "connection refused", "connection timed out", "please slow down", "request id", "mysql", "at app norma visor cargar", "at app main run", "visor java", "main java",
+    ),
+    "blocking": (
+        "un momento por favor", "estamos verificando que usted no es un robot", "verificando que usted no es un robot", "verifique que no es un robot", "no soy un robot", "verificando su navegador", "escriba los caracteres de la imagen para continuar", "escriba los caracteres de la imagen", "captcha", "ray", "ray id", "cloudflare", "su direccion ip ha sido bloqueada", "su ip ha sido bloqueada", "ha sido bloqueado",
+        "solicitud bloqueada", "por razones de seguridad", "checking your browser before accessing", "checking your browser", "please verify you are a human", "verify you are human", "are you a robot", "unusual traffic", "your ip has been blocked", "you have been blocked", "attention required", "just a moment", "request blocked", "the request could not be satisfied", "incident id", "verifique que voce nao e um robo",
+    ),
+    "session": (
+        "su sesion ha caducado por inactividad", "su sesion ha caducado", "su sesion ha expirado", "su sesion expiro", "la sesion ha expirado", "la sesion ha caducado", "sesion expirada", "sesion finalizada", "vuelva a ingresar para ver el documento", "vuelva a ingresar", "vuelva a iniciar sesion", "inicie sesion para continuar", "debe iniciar sesion", "debe iniciar sesion para ver este contenido", "ingrese su usuario y contrasena", "your session has expired", "session expired",
+        "please log in again", "please log in to continue", "you must be logged in", "please sign in", "sua sessao expirou", "faca login novamente",
+    ),
+    "maintenance": (
+        "estamos en mantenimiento programado", "estamos en mantenimiento", "sitio en mantenimiento", "portal en mantenimiento", "en mantenimiento", "mantenimiento programado", "regresaremos el", "regresaremos pronto", "volveremos pronto", "disculpe las molestias", "disculpe los inconvenientes", "sitio en construccion", "pagina en construccion", "under maintenance", "scheduled maintenance", "we will be back soon", "we ll be back soon", "under construction", "em manutencao", "voltaremos em breve",
+    ),
+    "script": (
+        "su navegador no es compatible o tiene bloqueado", "su navegador no es compatible", "su navegador no soporta", "el texto de la norma no puede mostrarse", "para ver este contenido debe habilitar", "debe habilitar", "en su navegador", "este portal requiere", "este sitio requiere", "esta pagina requiere", "esta aplicacion requiere", "activelo y recargue la pagina", "actívelo", "recargue la pagina", "active", "para continuar", "habilite", "documento", "noscript",
+        "you need to enable", "to run this app", "please enable", "to continue", "your browser does not support", "or it is disabled", "please enable it to view this document", "is required to view this page", "is required", "is disabled in your browser", "this site requires", "this page requires", "voce precisa habilitar", "habilite o javascript", "seu navegador nao suporta", "cargando visor de documentos", "si el visor no aparece", "compruebe que", "este activo", "cargando",
+        "javascript", "java script", "la ejecucion de scripts", "los scripts", "loading", "please wait",
+    ),
+    "filler": (
+        "dolit", "condera", "ipsanum", "aliq", "meth", "morlem", "magnor", "sita", "cora", "fugi", "tempo", "pariat", "vera", "exer", "ullam", "nostrum", "occa", "velor", "labrit", "arquen", "escriba aqui la descripcion", "escriba aqui el texto", "escriba aqui",
+        "lorem", "ipsum", "dolor", "sit", "amet", "consectetur", "consectetuer", "adipiscing", "adipisicing", "elit", "sed", "do", "eiusmod", "tempor", "incididunt", "ut", "labore", "et", "dolore", "magna", "aliqua", "enim", "ad", "minim", "veniam", "quis", "nostrud", "exercitation", "ullamco", "laboris", "nisi", "aliquip", "ex", "ea", "commodo", "consequat", "duis", "aute", "irure", "in", "reprehenderit", "voluptate", "velit", "esse", "cillum", "eu",
+        "fugiat", "nulla", "pariatur", "excepteur", "sint", "occaecat", "cupidatat", "non", "proident", "sunt", "culpa", "qui", "officia", "deserunt", "mollit", "anim", "id", "est", "laborum",
+        "texto de ejemplo para la seccion", "texto de ejemplo", "este es un parrafo de muestra", "parrafo de muestra", "texto provisional de la plantilla", "texto provisional", "texto de muestra", "texto de prueba", "texto de relleno", "este es un texto de relleno", "aqui va el contenido de la norma", "aqui va el contenido", "aqui va el texto", "contenido pendiente de cargue", "contenido pendiente", "contenido de prueba", "pendiente de cargue", "documento de prueba", "proximamente", "sin contenido", "contenido en preparacion", "this is a placeholder", "placeholder text", "sample text", "your text here",
+        "insert text here", "insert content here", "content goes here", "add your text here", "coming soon", "escriba aqui su texto", "inserte aqui el texto", "inserte su texto aqui", "texto de exemplo", "el veloz murcielago hindu comia feliz cardillo y kiwi", "the quick brown fox jumps over the lazy dog",
+    ),
+}
+#: Words that are ordinary in legal text: they only add to the coverage of a text that a telling phrase is in.
+_COMMON = frozenset("tempo vera cora sita meth referencia http error warning on line active para continuar habilite documento en su navegador debe habilitar is required este activo compruebe que do sed ut et ad in non id est qui ex ea eu sit ora ray mysql cargando main java visor java acceso denegado javascript java script los scripts la ejecucion de scripts proximamente dolor culpa enim magna velit nulla o fue trasladado mantenimiento programado en mantenimiento forbidden loading captcha".split()) | {
+    "on line", "para continuar", "en su navegador", "debe habilitar", "is required", "este activo", "compruebe que", "main java", "visor java", "acceso denegado", "java script", "los scripts", "la ejecucion de scripts", "o fue trasladado", "mantenimiento programado", "en mantenimiento",
+}
+
+#: Delimiter that opens a field, and the grammar of the whole field there (case-insensitive unless marked).
+_NAME = r"[a-z][\w.]{1,40}"
+FIELDS = (
+    ("{{", re.compile(rf"\{{\{{[\s>#/&^]*{_NAME}(?:\s*\|[^{{}}]{{0,60}})?\s*\}}\}}", re.I)),
+    ("{%", re.compile(r"\{%-?\s*[a-z]+[^{}%\n]{0,80}%\}", re.I)),
+    ("<%", re.compile(r"<%[=#-]?[^<>%\n]{1,80}%>")),
+    ("${", re.compile(rf"\$\{{\s*{_NAME}\s*\}}", re.I)),
+    ("$p{", re.compile(rf"\$[pfv]\{{\s*{_NAME}\s*\}}", re.I)),
+    ("{", re.compile(r"(?<![{$%\w])\{[a-z][a-z_]{2,40}\d*\}(?!\})", re.I)),
+    ("[[", re.compile(r"\[\[\s*[a-z][a-z_ .]{1,40}\s*\]\]", re.I)),
+    ("<<", re.compile(r"<<\s*[a-z][a-z_ .]{1,40}\s*>>", re.I)),
+    ("&lt;", re.compile(r"(?:&lt;){1,2}\s*[a-z][a-z_ .]{1,40}\s*(?:&gt;){1,2}", re.I)),
+    ("@model.", re.compile(r"@model\.[a-z]\w{1,40}", re.I)),
+    ("%", re.compile(r"(?<!\w)%[A-Z][A-Z_]{2,40}%(?!\w)|(?<!\w)%[a-z]+_[a-z_]+%(?!\w)")),
+    ("#", re.compile(r"(?<!\w)#[A-Z][A-Z_]{2,40}#(?!\w)")),
+    ("__", re.compile(r"(?<!\w)__[A-Z][A-Z_]{1,40}[A-Z]__(?!\w)")),
+    ("[insert", re.compile(r"\[\s*insert(?:ar|e)?\b[^\[\]\n]{1,60}\]", re.I)),
+    ("[complet", re.compile(r"\[\s*complet(?:ar|e)\b[^\[\]\n]{1,60}\]", re.I)),
+    ("[diligenci", re.compile(r"\[\s*diligenci(?:ar|e)\b[^\[\]\n]{0,60}\]", re.I)),
+    ("[indi", re.compile(r"\[\s*indi(?:car|que)\b[^\[\]\n]{0,60}\]", re.I)),
+    ("[escrib", re.compile(r"\[\s*escrib(?:ir|a)\b[^\[\]\n]{0,60}\]", re.I)),
+    ("aqui]", re.compile(r"\[[a-záéíóúñ_ ]{2,50} aqu[ií]\]", re.I)),
+    ("here]", re.compile(r"\[[a-z_ ]{2,50} here\]", re.I)),
+    ("[●", re.compile(r"\[\s*●\s*\]")),
+    ("[•", re.compile(r"\[\s*•\s*\]")),
+    ("xxxxx", re.compile(r"(?<!\w)x{5,}(?!\w)", re.I)),
+    ("«", re.compile(r"«[A-Z]{3,20}(?:_[A-Z]{2,20})*»")),
+)
+_GRAMMAR = dict(FIELDS)
+
+
+#: Latin-1 byte to what it folds to: an ASCII letter or digit, or a space.
+_PLAIN = bytes(ord(c) if (c := unicodedata.normalize("NFD", chr(b).lower())[0]).isascii() and c.isalnum() else 32 for b in range(256))
+
+
+def fold(text: str) -> str:
+    """Lower case without accents, everything but Latin letters and digits a space, words separated by one space."""
+    return b" ".join(text.encode("latin-1", "replace").translate(_PLAIN).split()).decode("ascii")
+
+
+@lru_cache(maxsize=1)
+def _automata() -> tuple:
+    """Both automata, built once per Python worker."""
+    import ahocorasick
+
+    phrases = ahocorasick.Automaton()
+    for kind, group in PHRASES.items():
+        for p in group:
+            p = fold(p)
+            phrases.add_word(f" {p} ", (kind, len(p), p not in _COMMON))
+    phrases.make_automaton()
+    openers = ahocorasick.Automaton()
+    for mark, _ in FIELDS:
+        openers.add_word(mark, mark)
+    openers.make_automaton()
+    return phrases, openers
+
+
+def fields(text: str) -> Iterator[str]:
+    """The fields left unfilled in a text."""
+    lowered = text.lower().replace("í]", "i]")
+    for mark in dict.fromkeys(m for _, m in _automata()[1].iter(lowered)):
+        for m in _GRAMMAR[mark].finditer(text):
+            yield m.group()
+
+
+def residue(text: str) -> tuple[str, float]:
+    """(kind, covered share): 'field' or the kind with most covered letters, '' for a text that is neither."""
+    if next(fields(text), None):
+        return "field", 1.0
+    folded = fold(text)
+    kinds: dict[str, int] = {}
+    covered, last, telling = 0, 0, False
+    spaced = " " + folded + " "
+    hits = sorted(((end - n, end, kind, sure) for end, (kind, n, sure) in _automata()[0].iter(spaced)), key=lambda h: (h[0], -h[1]))
+    for start, end, kind, sure in hits:
+        telling |= sure
+        if end > last:
+            gain = len(spaced[max(start, last) : end].replace(" ", ""))
+            covered += gain
+            kinds[kind] = kinds.get(kind, 0) + gain
+            last = end
+    if not telling:
+        return "", 0.0
+    readable = sum(len(w) for w in folded.split() if w.isalpha())
+    share = covered / max(1, readable)
+    return (max(kinds, key=lambda k: (kinds[k], k)), min(1.0, share)) if share >= COVERAGE else ("", share)
+
+
+def residues(chunks: DataFrame, key: str = "id", text: str = "texto") -> DataFrame:
+    """One row per text that is template residue: key, clase, cobertura.
+
+    Null, empty and blank texts are none; repeated rows give repeated results.  A narrow map: no shuffle.
+    """
+
+    def fn(k: object, t: str) -> Iterator[tuple]:
+        kind, share = residue(t)
+        if kind:
+            yield k, kind, share
+
+    return map_text(chunks.where(F.trim(F.col(f"`{text}`")) != ""), key, text, f"`{key}` {dict(chunks.dtypes)[key]}, clase string, cobertura double", fn)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks that hold an unfilled field or consist of filler, a message or a demand for scripts."""
+    return residues(table(spark, sf_dir, "chunks")).select("id")
+
+
+def p6_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks that stay: id and doc_id of every chunk without template residue (null and blank ones stay)."""
+    chunks = table(spark, sf_dir, "chunks").select("id", "doc_id", "texto")
+
+    def fn(k: object, t: str, doc: str) -> Iterator[tuple]:
+        if not residue(t)[0]:
+            yield k, doc
+
+    return map_text(chunks.withColumn("texto", F.coalesce("texto", F.lit(""))), "id", "texto", "id bigint, doc_id string", fn, carry=("doc_id",))
+
+
+QUERIES = {"p6_found": p6_found, "p6_kept": p6_kept}
+SQL: dict[str, str] = {}
