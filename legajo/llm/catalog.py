@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("encoding_repair", "main_content", "splitting", "layout_copies", "template_residue")
+MODULES = ("encoding_repair", "main_content", "splitting", "layout_copies", "template_residue", "tokenizing", "leakage")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
