@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("encoding_repair", "main_content", "splitting", "layout_copies", "template_residue", "tokenizing", "leakage", "text_quality")
+MODULES = ("encoding_repair", "main_content", "splitting", "ocr_repair", "layout_copies", "template_residue", "tokenizing", "leakage", "text_quality")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
