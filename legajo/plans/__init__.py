@@ -1 +1 @@
-"""Corpus analytics on Spark."""
+"""Named queries over the test tables."""
