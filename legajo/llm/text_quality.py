@@ -26,7 +26,7 @@ _ENDING = re.compile(r"[.;:!?…][\"»”)\]]*$")
 _SENTENCE = re.compile(r"[.!?;:…][\"»”)\]]*(?=\s|$)")
 _MARK = re.compile(r"(?:[-–—•*·▪◦○●►✓>](?=\s*\w)|o(?= [A-ZÁÉÍÓÚÑ])|\(?[a-zA-Z]{1,2}[.)]|\(?\d{1,4}(?:\.\d+)*\s?[.)º°\]:]-?|\(\d+\)|\[\d+\]|\(?[ivxlcIVXLC]{1,6}[.)]|§|№)\s*(?=\S)")
 _LEADERS = re.compile(r"(?:\.{3,}|…+|(?:\. ){3,}|_{3,})\s*\d+$")
-_CODE = re.compile(r"[{}]\s*$|^\s*(?:var|let|const|function|if\s*\(|return\b|import\b|\}|<\/?\w+|\$\(|@media|[.#]\w+\s*\{)|\w\([^()]*\);$|=>|</\w+>|\w+\([^)\s]*\)\s*[;{]|&\w+;|<\w+[^>]*>")
+_CODE = re.compile(r"[{}]\s*$|^\s*(?:(?:var|let|const|function|return|import)\b(?=.*[=(){};])|if\s*\((?=.*[{};])|\}|<\/?\w+|\$\(|@media|[.#]\w+\s*\{)|\w\([^()]*\);$|=>|</\w+>|\w\([^)\s]*\)\s*[;{]|&\w+;|<\w+[^>]*>")
 _GAPS = re.compile(r" {2,}|\t")
 
 STATS = (
@@ -34,6 +34,11 @@ STATS = (
 )
 
 
+_ENDS = frozenset(".;:!?…\"»”)]")
+#: Every form that _CODE takes as code has one of these.
+_CODE_CHARS = frozenset("{}<>=&@#")
+
+
 def measure(text: str, common: frozenset[str]) -> tuple:
     """The statistics of one text, shares from 0 to 1.
 
@@ -52,15 +57,17 @@ def measure(text: str, common: frozenset[str]) -> tuple:
     m = max(1, len(lines))
     ended = marked = cells = coded = 0
     widths: Counter = Counter()
+    code_like = not _CODE_CHARS.isdisjoint(text) or ");" in text or ") ;" in text or "$(" in text
     for raw in lines:
         line = raw.strip()
-        ended += bool(_ENDING.search(line))
-        marked += bool(_MARK.match(line) or _LEADERS.search(line))
-        coded += bool(_CODE.search(line))
+        ended += line[-1] in _ENDS and bool(_ENDING.search(line))
+        marked += bool(_MARK.match(line)) or line[-1].isdigit() and (".." in line or "…" in line or "__" in line or ". ." in line) and bool(_LEADERS.search(line))
+        coded += code_like and bool(_CODE.search(line))
         k = 1
         for sep in ("|", "\t", ";"):
-            k = max(k, len([c for c in line.strip("|").split(sep) if c.strip()]))
-        if k < 2 or ";" in line and line.endswith(";"):
+            if sep in line:
+                k = max(k, len([c for c in line.strip("|").split(sep) if c.strip()]))
+        if k < 2 and "  " in line or ";" in line and line.endswith(";"):
             k = max(1, len([c for c in _GAPS.split(line) if c.strip()]))
         if len(line) > 40 * k:
             k = 1  # clauses, not cells
@@ -69,7 +76,7 @@ def measure(text: str, common: frozenset[str]) -> tuple:
     top_width = max((v for k, v in widths.items() if k >= 2), default=0)
     top = max(counts.values(), default=0)
     sentences = len(_SENTENCE.findall(text))
-    mixed = 0 if not _STRANGE.search(text) else sum(1 for t in tokens if len(t) > 1 and _odd(t))
+    mixed = 0 if not _strange(text) else sum(1 for t in tokens if len(t) > 1 and _odd(t))
     longest = max(map(len, tokens), default=0)
     rare = 1.0 if longest > 60 and longest > 0.3 * solid else 0.0
     return (
@@ -78,7 +85,15 @@ def measure(text: str, common: frozenset[str]) -> tuple:
     )
 
 
-_STRANGE = re.compile(r"&#\d+;|\\[xu][0-9a-f]{2}|%[0-9A-F]{2}(?![\w%])|(?<!\S)(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{4}(?!\S)|[A-Za-zÀ-ÿ][#@~%^*;¤¬¦§±†‡‰•µ¶=+]|[#@~%^*¤¬¦±†‡‰•¶][A-Za-zÀ-ÿ]|[A-Za-z][Ѐ-ӿ　-鿿]|[Ѐ-ӿ　-鿿][A-Za-zÀ-ÿ]|[a-z]\d+[A-Za-z]+\d|[A-Za-z]\d[A-Za-z]\d|([^\w\s])\1{4,}|[þðøæ][a-zß]*[þðøæß]|[a-z][A-Z][a-z]?[A-Z][a-z]")
+_STRANGE = re.compile(r"&#\d+;|\\[xu][0-9a-f]{2}|%[0-9A-F]{2}(?![\w%])|(?<!\S)(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{4}(?!\S)|[A-Za-zÀ-ÿ](?:[#@~%^*¤¬¦§±†‡‰•µ¶=+]|;(?=\w))|[#@~%^*¤¬¦±†‡‰•¶][A-Za-zÀ-ÿ]|[A-Za-z][Ѐ-ӿ　-鿿]|[Ѐ-ӿ　-鿿][A-Za-zÀ-ÿ]|[a-z]\d+[A-Za-z]+\d|[A-Za-z]\d[A-Za-z]\d|([^\w\s])\1{4,}|[þðøæ][a-zß]*[þðøæß]|[a-z][A-Z][a-z]?[A-Z][a-z]")
+
+
+_RARE = re.compile(r"[#@~^*¤¬¦§±†‡‰•µ¶=+\\\u0400-\u04ff\u3000-\u9fffþðøæß]|%(?=[0-9A-F])|(?<=\w)[%;](?=\w)|[A-Za-zÀ-ÿ]%|%[A-Za-zÀ-ÿ]|(?<=[A-Za-z])\d|([^\w\s])\1{4}|[a-z][A-Z]|(?<!\S)[0-9a-f]{4}(?!\S)")
+
+
+def _strange(text: str) -> bool:
+    """Whether any token may be strange: a cheap scan that most prose ends at."""
+    return _RARE.search(text) is not None and _STRANGE.search(text) is not None
 
 
 def _odd(token: str) -> bool:
