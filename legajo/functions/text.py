@@ -18,7 +18,7 @@ def fold(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Words in lower case, accents kept."""
-    return F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(F.lower(F.translate(c, "İ", "I")), F.lit(WORD), F.lit(0))
 
 
 def word_count(c: Column) -> Column:
@@ -35,9 +35,14 @@ def letter_ratio(c: Column) -> Column:
     return F.try_divide(F.length(F.regexp_replace(c, r"[^\p{L}]", "")).cast("double"), F.length(c).cast("double"))
 
 
+def blank(c: Column) -> Column:
+    """Whether a text holds nothing but white space of any kind; null for null."""
+    return F.regexp_replace(c, r"[\s\p{Z}]+", "") == ""
+
+
 def full_lines(c: Column) -> Column:
     """Lines that hold more than white space."""
-    return F.size(F.filter(F.split(c, "\n"), lambda x: F.length(F.trim(x)) > 0)).cast("bigint")
+    return F.size(F.filter(F.split(c, "\n"), lambda x: ~blank(x))).cast("bigint")
 
 
 def host(url: Column) -> Column:

@@ -2,5 +2,14 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+
+from . import q_relational, q_text
+
+QUERIES: dict = {**q_relational.QUERIES, **q_text.QUERIES}
+SQL: dict[str, str] = {**q_relational.SQL, **q_text.SQL}
+
+
+def flagship(spark: SparkSession, folder: str) -> DataFrame:
+    """The three best documents for each question by BM25."""
+    return QUERIES["q46_bm25_topk"](spark, folder)
