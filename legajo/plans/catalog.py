@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_relational, q_text
+from . import q_documents, q_relational, q_text
 
-QUERIES: dict = {**q_relational.QUERIES, **q_text.QUERIES}
-SQL: dict[str, str] = {**q_relational.SQL, **q_text.SQL}
+QUERIES: dict = {**q_relational.QUERIES, **q_text.QUERIES, **q_documents.QUERIES}
+SQL: dict[str, str] = {**q_relational.SQL, **q_text.SQL, **q_documents.SQL}
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
