@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -18,6 +19,17 @@ RRF = 60
 QUERY_BLOCK = 4_096
 
 
+def _schema(ddl: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    return to_arrow_schema(_parse_datatype_string(ddl))
+
+
+def _batch(columns: tuple, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c.tolist(), f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, t, f, largo): one row per term of a text; combined map-side."""
     words = docs.select(key, T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("w")).withColumn("largo", F.size("w").cast("bigint"))
@@ -29,20 +41,63 @@ def query_terms(queries: DataFrame, qid: str, text: str) -> DataFrame:
 
 
 def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, qid: str, qtext: str, k: int) -> DataFrame:
-    """(q, key, puntaje, rango): the k best texts of each query, ties by key.
+    """(q, key, puntaje, rango): the k best texts of each query, ties by key; texts without a common term aren't ranked.
 
-    Terms that no query has leave before the shuffle (a semi-join on the small set of query terms), and the frequency
-    of a term is counted on what is left.  Lengths count all tokens; a text without tokens counts with length 0.
+    One pass counts in how many texts each query term occurs; a second weighs the terms of each text and multiplies
+    them with a block of queries at a time, so what is shuffled is k rows per query and batch, not postings.  Lengths
+    count all tokens; a text without tokens counts with length 0.
     """
-    terms = query_terms(queries, qid, qtext)
+    spark = docs.sparkSession
     tokens = docs.select(key, T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("w"))
-    stats = tokens.agg(F.count(F.lit(1)).alias("docs"), F.greatest(F.lit(1.0), F.avg(F.size("w"))).alias("media"))
-    posted = tokens.select(key, F.size("w").alias("largo"), F.explode("w").alias("t")).join(terms.select("t").distinct(), "t", "left_semi").groupBy(key, "largo", "t").agg(F.count(F.lit(1)).alias("f"))
-    df = posted.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    weight = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("largo") / F.col("media")))
-    weighted = posted.join(df, "t").crossJoin(F.broadcast(stats)).select("t", key, weight.alias("peso"))
-    scores = terms.join(weighted, "t").groupBy("q", key).agg(F.round(F.sum("peso"), 6).alias("puntaje"))
-    return top(scores, "q", key, "puntaje", k)
+    n, mean = tokens.agg(F.count(F.lit(1)), F.greatest(F.lit(1.0), F.avg(F.size("w")))).first()
+    terms = query_terms(queries, qid, qtext)
+    wanted = terms.select("t").distinct()
+    df = tokens.select(F.explode(F.array_distinct("w")).alias("t")).join(wanted, "t", "left_semi").groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    rows = terms.join(df, "t").groupBy("q").agg(F.collect_list(F.struct("t", "df")).alias("ts"))
+    block, found = [], []
+    for row in rows.toLocalIterator():
+        block.append((row.q, [(x.t, x.df) for x in row.ts]))
+        if len(block) == QUERY_BLOCK:
+            found.append(_bm25_block(spark, tokens, key, block, n, mean, k, dict(rows.dtypes)["q"]))
+            block = []
+    if block or not found:
+        found.append(_bm25_block(spark, tokens, key, block, n, mean or 1.0, k, dict(rows.dtypes)["q"]))
+    return top(reduce(DataFrame.unionByName, found), "q", key, "puntaje", k)
+
+
+def _bm25_block(spark, tokens: DataFrame, key: str, block: list, n: int, mean: float, k: int, q_kind: str) -> DataFrame:
+    df = dict(x for _, ts in block for x in ts)
+    place = {t: i for i, t in enumerate(df)}
+    idf = np.log(1 + (n - np.array(list(df.values()), float) + 0.5) / (np.array(list(df.values()), float) + 0.5))
+    member = np.zeros((len(place), len(block)), np.float64)
+    for j, (_, ts) in enumerate(block):
+        member[[place[t] for t, _ in ts], j] = 1.0
+    sent = spark.sparkContext.broadcast((np.array([q for q, _ in block]), place, idf, member))
+    ddl = f"q {q_kind}, `{key}` {dict(tokens.dtypes)[key]}, puntaje double"
+    schema = _schema(ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, at, weight, m = sent.value
+        if not len(qids):
+            return
+        for whole in batches:
+            for start in range(0, whole.num_rows, 512):
+                batch = whole.slice(start, 512)
+                keys = np.array(batch.column(0).to_pylist())
+                f = np.zeros((len(keys), len(weight)))
+                for i, words in enumerate(batch.column(1).to_pylist()):
+                    norm = K1 * (1 - B + B * len(words) / mean)
+                    for t, c in Counter(map(at.get, words)).items():
+                        if t is not None:
+                            f[i, t] = c * (K1 + 1) / (c + norm)
+                scores = np.round((f * weight) @ m, 6)
+                order = np.lexsort((np.broadcast_to(keys[:, None], scores.shape), -scores), axis=0)[:k]
+                best = np.take_along_axis(scores, order, 0).ravel()
+                q = np.broadcast_to(qids[None, :], order.shape).ravel()
+                some = best > 0
+                yield _batch((q[some], keys[order].ravel()[some], best[some]), schema)
+
+    return tokens.mapInArrow(run, ddl)
 
 
 def top(scores: DataFrame, q: str, key: str, score: str, k: int) -> DataFrame:
@@ -73,7 +128,8 @@ def dense_top(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k:
 def _dense_block(spark, vectors: DataFrame, key: str, vector: str, kind: str, block: list, k: int) -> DataFrame:
     ids = np.array([i for i, _ in block])
     sent = spark.sparkContext.broadcast((ids, np.array([v for _, v in block], float)))
-    out = f"q {kind}, `{key}` {kind}, puntaje double"
+    ddl = f"q {kind}, `{key}` {kind}, puntaje double"
+    schema = _schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, m = sent.value
@@ -87,9 +143,9 @@ def _dense_block(spark, vectors: DataFrame, key: str, vector: str, kind: str, bl
             scores = np.round(np.array([v for _, v in pairs], float) @ m.T, 6)
             order = np.lexsort((np.broadcast_to(keys[:, None], scores.shape), -scores), axis=0)[:k]
             q = np.broadcast_to(qids[None, :], order.shape).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(keys[order].ravel()), pa.array(np.take_along_axis(scores, order, 0).ravel())], names=["q", key, "puntaje"])
+            yield _batch((q, keys[order].ravel(), np.take_along_axis(scores, order, 0).ravel()), schema)
 
-    return vectors.select(key, vector).mapInArrow(run, out)
+    return vectors.select(key, vector).mapInArrow(run, ddl)
 
 
 def fuse(rankings: list[DataFrame], key: str, k: int, constant: int = RRF) -> DataFrame:
