@@ -193,4 +193,12 @@ def p8_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p8_found": p8_found, "p8_near": p8_near}
-SQL: dict[str, str] = {}
+SQL = {
+    "p8_found": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+t AS (SELECT id, pregunta AS t FROM preguntas UNION SELECT id, pregunta FROM clave_oro UNION SELECT id, respuesta_esperada FROM clave_oro),
+q AS (SELECT id, regexp_extract_all(strip_accents(lower(t)), '[\p{L}\p{N}]+') AS w FROM t WHERE t IS NOT NULL),
+a AS (SELECT DISTINCT id, array_to_string(w[i : i + 11], ' ') AS g FROM (SELECT id, w, unnest(generate_series(1, len(w) - 11)) AS i FROM q)),
+b AS (SELECT doc_id, array_to_string(w[i : i + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 11)) AS i FROM w))
+SELECT DISTINCT doc_id, id FROM a JOIN b USING (g)"""
+}
