@@ -107,11 +107,11 @@ def q90_expected_range(s: SparkSession, d: str) -> DataFrame:
     return every.join(a, ["tipo", "anio"], "left_anti").select("tipo", F.col("anio").cast("bigint").alias("falta"))
 
 
-@query("SELECT h.doc_id, count(*) AS hallazgos, bool_or(severidad = 'CRITICO') AS critico, count(DISTINCT m.fuente) AS fuentes FROM hallazgos h JOIN (SELECT DISTINCT doc_id, fuente FROM manifiesto) m USING (doc_id) GROUP BY 1")
+@query("SELECT h.doc_id, count(*) AS hallazgos, bool_or(severidad = 'CRITICO') AS critico, any_value(m.fuentes) AS fuentes FROM hallazgos h JOIN (SELECT doc_id, count(DISTINCT fuente) AS fuentes FROM manifiesto GROUP BY 1) m USING (doc_id) GROUP BY 1")
 def q91_findings_by_document(s: SparkSession, d: str) -> DataFrame:
     m = read(s, d, "manifiesto").groupBy("doc_id").agg(F.count_distinct("fuente").alias("fuentes"))
-    h = read(s, d, "hallazgos").where("doc_id <> ''").groupBy("doc_id").agg(F.count(F.lit(1)).alias("m"), F.bool_or(F.col("severidad") == "CRITICO").alias("critico"))
-    return h.join(m, "doc_id").select("doc_id", (F.col("m") * F.when(F.col("fuentes") > 1, F.col("fuentes")).otherwise(1)).alias("hallazgos"), "critico", "fuentes")
+    h = read(s, d, "hallazgos").where("doc_id <> ''").groupBy("doc_id").agg(F.count(F.lit(1)).alias("hallazgos"), F.bool_or(F.col("severidad") == "CRITICO").alias("critico"))
+    return h.join(m, "doc_id").select("doc_id", "hallazgos", "critico", "fuentes")
 
 
 @query("SELECT area, count(*) AS items, count(*) FILTER (EXISTS (SELECT 1 FROM documents t WHERE t.area = k.area)) AS cubiertos FROM clave_oro k WHERE area IS NOT NULL GROUP BY 1")

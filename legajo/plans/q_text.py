@@ -165,6 +165,8 @@ def q49_neighbor_recall(s: SparkSession, d: str) -> DataFrame:
     from pyspark.ml.functions import array_to_vector
 
     v = read(s, d, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
+    if v.isEmpty():
+        return s.createDataFrame([], "q bigint, recall double")
     lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=1.2, numHashTables=24, seed=5).fit(v)
     q = v.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "q")
     near = lsh.approxSimilarityJoin(q, v, 2.0, "dist").select(F.col("datasetA.q").alias("q"), F.col("datasetB.vec_id").alias("vec_id"), (-F.col("dist")).alias("puntaje"))
