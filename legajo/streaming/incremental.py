@@ -1,4 +1,4 @@
-"""Incremental ingestion and event windows.  The reference workload is batch only; these are extensions."""
+"""Incremental ingestion and event windows.  The engine's own workload is batch; these are extensions."""
 
 from __future__ import annotations
 
