@@ -346,16 +346,19 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.
 """
 
 
-@query(_NEAR + "SELECT a, b, round(c / (x.n + y.n - c)::DOUBLE, 6) AS parecido FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c)")
-def q77_near_dup_jaccard(s: SparkSession, d: str) -> DataFrame:
-    """Pairs of different texts (each by its smallest id) whose five-word shingles have a Jaccard similarity of 0.8 or more.
+def _near_texts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Documents of five words or more with their text's hash, and the different texts, each by its smallest id."""
+    words = read(s, d, "documents").where("text IS NOT NULL").select("doc_id", T.tokens(F.col("text")).alias("w")).where("size(w) >= 5").withColumn("h", F.sha2(F.array_join("w", " "), 256))
+    return words.select("doc_id", "h"), words.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.first("w").alias("w"))
+
+
+def _near_pairs(texts: DataFrame) -> DataFrame:
+    """(a, b, parecido): pairs of texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
 
     Prefix filter: shingles are ordered by rarity, and two sets that similar share one among the first n - ceil(0.8 n)
     + 1 of each, so no pair is lost and common shingles are hardly ever joined on.  Lengths that can't reach the
     similarity are left out; candidates are verified on the whole sets.
     """
-    words = read(s, d, "documents").where("text IS NOT NULL").select("doc_id", T.tokens(F.col("text")).alias("w")).where("size(w) >= 5")
-    texts = words.groupBy(F.sha2(F.array_join("w", " "), 256).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.first("w").alias("w"))
     grams = F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 5), " ")))
     sets = texts.select("doc_id", F.array_distinct(grams).alias("g"))
     long = sets.select("doc_id", F.size("g").alias("n"), F.explode("g").alias("g"))
@@ -370,6 +373,34 @@ def q77_near_dup_jaccard(s: SparkSession, d: str) -> DataFrame:
     return both.where(common >= 0.8 * total).select("a", "b", F.round(common / total, 6).alias("parecido"))
 
 
+@query(_NEAR + "SELECT a, b, round(c / (x.n + y.n - c)::DOUBLE, 6) AS parecido FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c)")
+def q77_near_dup_jaccard(s: SparkSession, d: str) -> DataFrame:
+    """Pairs of different texts (each by its smallest id) with a Jaccard similarity of 0.8 or more; q77_near_dup_members links every document."""
+    return _near_pairs(_near_texts(s, d)[1])
+
+
+@query(
+    _NEAR + f""", t AS (SELECT doc_id, regexp_extract_all(lower(text), '{_W}') AS w FROM documents WHERE text IS NOT NULL),
+m AS (SELECT t.doc_id, w.doc_id AS clase, count(*) OVER (PARTITION BY w.doc_id) AS copias FROM t JOIN w ON t.w = w.w),
+k AS (SELECT DISTINCT clase, copias FROM m),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c)),
+v AS (SELECT clase, sum(copias) AS otros FROM (SELECT a AS clase, b AS vecina FROM l UNION ALL SELECT b, a FROM l) e JOIN (SELECT clase AS vecina, copias FROM k) USING (vecina) GROUP BY 1)
+SELECT doc_id, clase, copias, (copias - 1 + coalesce(otros, 0))::BIGINT AS enlaces FROM m LEFT JOIN v USING (clase)"""
+)
+def q77_near_dup_members(s: SparkSession, d: str) -> DataFrame:
+    """Every document of five words or more: the class of its equal texts (their smallest id), the class's size, and its links.
+
+    A link is another document, be it a copy or a near copy, with a similarity of 0.8 or more.
+    """
+    docs, texts = _near_texts(s, d)
+    classes = docs.groupBy("h").agg(F.min("doc_id").alias("clase"), F.count(F.lit(1)).alias("copias"))
+    pairs = _near_pairs(texts).select("a", "b")
+    edges = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("clase"), F.col("b").alias("vecina")), F.struct(F.col("b").alias("clase"), F.col("a").alias("vecina")))).alias("e")).select("e.*")
+    near = edges.join(classes.select(F.col("clase").alias("vecina"), "copias"), "vecina").groupBy("clase").agg(F.sum("copias").alias("otros"))
+    sized = classes.join(near, "clase", "left").select("h", "clase", "copias", (F.col("copias") - 1 + F.coalesce("otros", F.lit(0))).alias("enlaces"))
+    return docs.join(sized, "h").select("doc_id", "clase", "copias", "enlaces")
+
+
 @query("SELECT linea, count(*) AS n, count(DISTINCT id) AS fragmentos FROM (SELECT id, trim(unnest(string_split(texto, chr(10)))) AS linea FROM chunks) WHERE length(linea) BETWEEN 5 AND 140 GROUP BY 1 HAVING count(*) >= 3")
 def q78_repeated_lines(s: SparkSession, d: str) -> DataFrame:
     lines = read(s, d, "chunks").select("id", F.explode(F.split("texto", "\n")).alias("l")).select("id", F.trim("l").alias("linea")).where("length(linea) BETWEEN 5 AND 140")

@@ -54,6 +54,15 @@ def test_ann_recall(spark):
     assert got >= 0.9
 
 
+def test_near_dup_members(spark, tmp_path):
+    words = [f"w{i}" for i in range(40)]
+    near = " ".join(words[:-1])
+    rows = [(1, " ".join(words)), (2, " ".join(words).upper()), (3, near), (4, near + "."), (5, "otro texto que nadie más copia"), (6, "igual a su copia y ya"), (7, "Igual a su copia, y ya"), (8, "muy corto"), (9, None)]
+    spark.createDataFrame(rows, "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.clase, r.copias, r.enlaces) for r in catalog.QUERIES["q77_near_dup_members"](spark, str(tmp_path)).collect()}
+    assert got == {1: (1, 2, 3), 2: (1, 2, 3), 3: (3, 2, 3), 4: (3, 2, 3), 5: (5, 1, 0), 6: (6, 2, 1), 7: (6, 2, 1)}
+
+
 def test_rrf_order_and_ties(spark):
     lists = [spark.createDataFrame([(1, a, i) for i, a in enumerate(x, 1)], "q int, id int, rango int") for x in ([3, 1], [1, 2])]
     assert [r.id for r in S.fuse(lists, "id", 2).orderBy("rango").collect()] == [1, 3]
