@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 from .common import map_text, table
 
 WINDOW = 12
-#: Positions that a mask looks at.  No position is looked at by all, so one replaced word is missed by none of them.
-MASKS = ((0, 1, 2, 3, 5, 6, 8, 10), (0, 2, 4, 5, 7, 9, 10, 11), (1, 3, 4, 6, 7, 8, 9, 11))
+#: Each mask looks at two of four interleaved groups of three positions and ignores the others.  Any two positions lie in at
+#: most two groups, which some mask ignores, so a window with one or two replaced words hits through at least one mask.
+GROUPS = tuple(tuple(range(g, WINDOW, 4)) for g in range(4))
+MASKS = tuple(combinations(range(4), 2))
 #: Size of the bit set in bits; it is broadcast and doesn't grow with either table.
 BITS = 1 << 26
 #: Windows with at least so many equal words count as near leaks.
@@ -78,16 +81,16 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
-def seed_hashes(tokens: list[bytes]) -> np.ndarray:
-    """One row for each mask, one column for each window."""
+def seed_hashes(tokens: list[bytes], masks: int = len(MASKS)) -> np.ndarray:
+    """One row for each of the first masks, one column for each window."""
     n = len(tokens) - WINDOW + 1
     if n <= 0:
-        return np.empty((len(MASKS), 0), np.uint64)
+        return np.empty((masks, 0), np.uint64)
     h = np.fromiter(map(_HASHES.__getitem__, tokens), np.uint64, len(tokens))
-    out = np.zeros((len(MASKS), n), np.uint64)
-    for m, mask in enumerate(MASKS):
-        for p in mask:
-            out[m] += h[p : p + n] * _MULTIPLIERS[p]
+    parts = [sum(h[p : p + n] * _MULTIPLIERS[p] for p in group) for group in GROUPS]
+    out = np.empty((masks, n), np.uint64)
+    for m, (a, b) in enumerate(MASKS[:masks]):
+        out[m] = parts[a] + parts[b]
         out[m] ^= np.uint64(m)
         out[m] ^= out[m] >> np.uint64(29)
         out[m] *= np.uint64(0xBF58476D1CE4E5B9)
@@ -105,12 +108,12 @@ def test_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).where("texto IS NOT NULL").distinct()
 
 
-def _item_seeds(items: DataFrame) -> DataFrame:
+def _item_seeds(items: DataFrame, masks: int) -> DataFrame:
     """(h, id, campo, ventana): the seed hashes of the items' windows with the windows' words."""
 
     def fn(item: object, text: str, field: str) -> Iterator[tuple]:
         tokens = words(text)
-        for column, row in enumerate(seed_hashes(tokens).T.astype(np.int64).tolist()):
+        for column, row in enumerate(seed_hashes(tokens, masks).T.astype(np.int64).tolist()):
             window = b" ".join(tokens[column : column + WINDOW]).decode("latin-1")
             for h in row:
                 yield h, item, field, window
@@ -143,16 +146,18 @@ def _bit_set(seeds: DataFrame) -> bytes:
 def hits(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", least: int = WINDOW) -> DataFrame:
     """(key, id, campo, iguales): documents with an item's passage, and the most equal words of a window.
 
-    ``least`` of the window's words must be equal at their places.  Null and short texts have no windows; repeated rows
+    ``least`` (NEAR or more) of the window's words must be equal at their places.  Null and short texts have no windows; repeated rows
     and items with equal texts are each reported; empty tables give no rows.
     """
     spark = documents.sparkSession
-    seeds = _item_seeds(items).persist()
+    exact = least >= WINDOW
+    # equal windows hit through every mask: three of them are enough
+    masks = 3 if exact else len(MASKS)
+    seeds = _item_seeds(items, masks).persist()
     count = seeds.count()
     packed = spark.sparkContext.broadcast(_bit_set(seeds))
     key_kind = dict(documents.dtypes)[key]
     state: dict = {}
-    exact = least >= WINDOW
 
     def fn(k: object, t: str) -> Iterator[tuple]:
         if "bits" not in state:
@@ -162,7 +167,7 @@ def hits(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
         tokens = words(t)
         if len(tokens) < WINDOW:
             return
-        hashes = seed_hashes(tokens)
+        hashes = seed_hashes(tokens, masks)
         at = hashes % np.uint64(BITS)
         hit = (state["bits"][(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
         if exact:

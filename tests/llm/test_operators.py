@@ -177,6 +177,17 @@ def test_leak(spark):
     assert P8.hits(docs, items.limit(0)).count() == 0 and P8.hits(docs.limit(0), items).count() == 0
 
 
+def test_near_leak_every_pair(spark):
+    item = ITEM.split()[:12]
+    texts = []
+    for a in range(12):
+        for b in range(a, 12):
+            texts.append(" ".join("otra" if i in (a, b) else w for i, w in enumerate(item)))
+    items = spark.createDataFrame([("pregunta", 7, " ".join(item))], "campo string, id int, texto string")
+    got = {r.doc_id: r.iguales for r in P8.hits(documents(spark, texts), items, least=P8.NEAR).collect()}
+    assert got == {i: sum(x == y for x, y in zip(t.split(), item)) for i, t in enumerate(texts, 1)} and len(got) == 78
+
+
 def test_words():
     assert P8.words("Ñandú, 3.º año—Éxito") == [b"nandu", b"3", "º".encode("latin-1"), b"ano", b"exito"]
 
