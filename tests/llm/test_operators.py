@@ -110,6 +110,19 @@ def test_scan_lines():
     assert P4.rebuild(text, {}, set()).startswith("el contrato se notifica al deudor.")
 
 
+def test_scan_headers_of_any_wording(spark):
+    numbered = "la parte tiene derecho a la carga de la\nEstatuto agrario del sector de  283\n160\nprueba recae en quien alega."
+    capitals = "la multa no será infe-\nPág. 115 de 412\n\nCOMPENDIO RURAL DE REGIONES\nrior a un salario."
+    for text, skip in ((numbered, {1, 2}), (capitals, {1, 3})):
+        assert set(P4.furniture(text.split("\n"))) == skip
+    plain = "según dijo el\nTribunal Superior de Bogotá en lo que\n160\nrespecta a la multa"
+    assert 1 not in P4.furniture(plain.split("\n"))
+    texts = [f"la frase {i} sigue en el\nMemorias del Concejo Rural\n{i}\nrenglón de abajo." for i in range(10, 14)]
+    running = P4.headers(chunks(spark, texts))
+    assert running == {"Memorias del Concejo Rural"} and P4.furniture(texts[0].split("\n"), running) == [1, 2]
+    assert P4.headers(chunks(spark, texts[:1] * 5)) == frozenset()
+
+
 def test_scan_words(spark):
     word = "la notificación de la sentencia se ordenó"
     texts = [word] * 200 + ["la notif!cación se ordenó", "la sentencla quedó", None, "", "la notificacion se ordeno", "serial SL1O-152B"]
