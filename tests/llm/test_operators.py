@@ -131,6 +131,13 @@ def test_scan_words(spark):
     assert P4.noise(chunks(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_scan_words_of_other_confusions(spark):
+    word = "la registraduría de la brígida notifique la sentencia"
+    texts = [word] * 200 + ["la registradurla", "la 8rígida", "la sentenc1a quedó"]
+    got = {r.id: {x.w: x.real for x in r.palabras} for r in P4.noise(chunks(spark, texts)).collect()}
+    assert got == {201: {"registradurla": "registraduría"}, 202: {"8rígida": "brígida"}, 203: {"sentenc1a": "sentencia"}}
+
+
 def test_copies(spark):
     texts = ["Ley Uno: texto", "ley   uno texto", "ley única texto", "Sala: A\nFecha: 1", "FECHA = 1; sala = a", None, " ", "Ley Uno: texto"]
     got = {(r.id_a, r.id_b) for r in P5.copies(chunks(spark, texts, {8: "D-1", 2: "d_1"})).collect()}
