@@ -42,6 +42,16 @@ def q83_paged_text(s: SparkSession, d: str) -> DataFrame:
     return D.pages(rows, "doc_id", F.col("t"), "esperadas").select("doc_id", "pagina", "inicio")
 
 
+@query("WITH t AS (SELECT doc_id, string_split(array_to_string(list_transform(range(0, greatest(1, ceil(length(text) / 40.0)::BIGINT)), lambda k: substring(text, 40 * k + 1, 40)), chr(12)), chr(12)) AS p FROM documents WHERE text IS NOT NULL) SELECT doc_id, i::INT AS pagina, coalesce(list_sum(list_transform(p[1 : i - 1], lambda x: length(x) + 1)), 0)::INT AS inicio FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM t)")
+def q83_paged_text_all(s: SparkSession, d: str) -> DataFrame:
+    """Every text to its end with a form feed after each forty characters; form feeds that the text holds end pages too."""
+    n = F.greatest(F.lit(1), F.ceil(F.length("text") / 40)).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring("text", 40 * i + 1, F.lit(40)))
+    own = F.length("text") - F.length(F.translate("text", "\f", ""))
+    rows = read(s, d, "documents").where("text IS NOT NULL").select("doc_id", F.concat_ws("\f", cut).alias("t"), (n + own).alias("esperadas"))
+    return D.pages(rows, "doc_id", F.col("t"), "esperadas").select("doc_id", "pagina", "inicio")
+
+
 @query("WITH o AS (SELECT norma_id, doc_id, text FROM documents WHERE norma_id IS NOT NULL AND text IS NOT NULL) SELECT norma_id, (sum(length(text)) + 2 * (count(*) - 1))::BIGINT AS largo, count(*) AS partes FROM o GROUP BY 1")
 def q84_document_assembly(s: SparkSession, d: str) -> DataFrame:
     got = D.assembled(read(s, d, "documents").where("norma_id IS NOT NULL AND text IS NOT NULL"), "norma_id", "doc_id", "text")

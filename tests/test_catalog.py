@@ -63,6 +63,16 @@ def test_near_dup_members(spark, tmp_path):
     assert got == {1: (1, 2, 3), 2: (1, 2, 3), 3: (3, 2, 3), 4: (3, 2, 3), 5: (5, 1, 0), 6: (6, 2, 1), 7: (6, 2, 1)}
 
 
+def test_pages_of_whole_texts(spark, tmp_path):
+    texts = {1: "x" * 161, 2: "corto", 3: "a\fb" + "y" * 80, 4: "", 5: None, 6: "z" * 80}
+    spark.createDataFrame(list(texts.items()), "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {}
+    for r in catalog.QUERIES["q83_paged_text_all"](spark, str(tmp_path)).orderBy("doc_id", "pagina").collect():
+        got.setdefault(r.doc_id, []).append((r.pagina, r.inicio))
+    assert {k: [p for p, _ in v] for k, v in got.items()} == {1: [1, 2, 3, 4, 5], 2: [1], 3: [1, 2, 3, 4], 4: [1], 6: [1, 2]}
+    assert [i for _, i in got[1]] == [0, 41, 82, 123, 164] and [i for _, i in got[3]] == [0, 2, 41, 82]
+
+
 def test_rrf_order_and_ties(spark):
     lists = [spark.createDataFrame([(1, a, i) for i, a in enumerate(x, 1)], "q int, id int, rango int") for x in ([3, 1], [1, 2])]
     assert [r.id for r in S.fuse(lists, "id", 2).orderBy("rango").collect()] == [1, 3]
