@@ -169,3 +169,28 @@ def pack(items: Column, cost: str, budget: int) -> Column:
         return F.struct(F.when(fits, acc["usado"] + x[cost]).otherwise(acc["usado"]).alias("usado"), F.when(fits, F.concat(acc["quedan"], F.array(x["id"]))).otherwise(acc["quedan"]).alias("quedan"))
 
     return F.aggregate(items, empty, step)
+
+
+def pack_sorted(df: DataFrame, group: str, order: str, cost: str, budget: int) -> DataFrame:
+    """(group, usado, quedan): greedy packing of all rows of each group in order; a hot group is a sorted stream, never an array."""
+    kind = dict(df.dtypes)[group]
+    schema = _schema(f"`{group}` {kind}, usado bigint, quedan bigint")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: list | None = None
+        for batch in batches:
+            rows = []
+            for g, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if state is None or state[0] != g:
+                    if state:
+                        rows.append(state)
+                    state = [g, 0, 0]
+                if state[1] + c <= budget:
+                    state[1] += c
+                    state[2] += 1
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        if state:
+            yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(state, schema)], schema=schema)
+
+    return df.repartition(group).sortWithinPartitions(group, order).select(group, cost).mapInArrow(run, f"`{group}` {kind}, usado bigint, quedan bigint")

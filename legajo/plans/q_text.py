@@ -205,6 +205,13 @@ def q54_pack_context(s: SparkSession, d: str) -> DataFrame:
     return packed.select("norma_id", F.col("p.usado").alias("usado"), F.size("p.quedan").cast("bigint").alias("quedan"))
 
 
+@query("WITH RECURSIVE o AS (SELECT norma_id, doc_id, length(text)::BIGINT AS c, row_number() OVER (PARTITION BY norma_id ORDER BY doc_id) AS r FROM documents WHERE norma_id IS NOT NULL AND text IS NOT NULL), p AS (SELECT norma_id, r, CASE WHEN c <= 6000 THEN c ELSE 0 END AS usado, (c <= 6000)::INT AS n FROM o WHERE r = 1 UNION ALL SELECT o.norma_id, o.r, CASE WHEN usado + c <= 6000 THEN usado + c ELSE usado END, n + (usado + c <= 6000)::INT FROM p JOIN o ON o.norma_id = p.norma_id AND o.r = p.r + 1) SELECT norma_id, max(usado)::BIGINT AS usado, max(n)::BIGINT AS quedan FROM p GROUP BY 1")
+def q54_pack_context_all(s: SparkSession, d: str) -> DataFrame:
+    """All documents of each norm, in order, packed greedily into 6,000 characters."""
+    docs = read(s, d, "documents").where("norma_id IS NOT NULL AND text IS NOT NULL").select("norma_id", "doc_id", F.length("text").cast("bigint").alias("c"))
+    return S.pack_sorted(docs, "norma_id", "doc_id", "c", 6000)
+
+
 _BODY = r"(ley|decreto-ley|decreto|resolucion|acuerdo|circular) (\d+) de (\d{4})"
 _JUD = r"(?:sentencia|auto) ((?:su|sl|sc|sp|stc|c|t|a)-?)(\d+)(?: de |-|/)(\d{2,4})"
 _CITES = rf"""WITH t AS (SELECT doc_id, {_FOLD.format("text")} AS f FROM documents),

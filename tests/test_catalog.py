@@ -73,6 +73,19 @@ def test_pages_of_whole_texts(spark, tmp_path):
     assert [i for _, i in got[1]] == [0, 41, 82, 123, 164] and [i for _, i in got[3]] == [0, 2, 41, 82]
 
 
+def test_pack_all_rows(spark, tmp_path):
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, rng.choice("abc"), "x" * rng.randrange(1, 3000)) for i in range(120)] + [(120, "z", "x" * 7000)]
+    spark.createDataFrame(rows, "doc_id int, norma_id string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for _, g, t in rows:
+        u, n = want.get(g, (0, 0))
+        want[g] = (u + len(t), n + 1) if u + len(t) <= 6000 else (u, n)
+    assert {r.norma_id: (r.usado, r.quedan) for r in catalog.QUERIES["q54_pack_context_all"](spark, str(tmp_path)).collect()} == want
+
+
 def test_rrf_order_and_ties(spark):
     lists = [spark.createDataFrame([(1, a, i) for i, a in enumerate(x, 1)], "q int, id int, rango int") for x in ([3, 1], [1, 2])]
     assert [r.id for r in S.fuse(lists, "id", 2).orderBy("rango").collect()] == [1, 3]
