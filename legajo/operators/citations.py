@@ -50,7 +50,7 @@ def graph(cites: DataFrame, source: str, target: str, group: str) -> DataFrame:
     return counts.join(first, target)
 
 
-def closure(edges: DataFrame, seeds: DataFrame, rounds: int = 20) -> DataFrame:
+def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Nodes reachable from seeds over (de, a): anti-join rounds until nothing is new; lineage is cut by checkpoint().
 
     The number of rounds is the depth of the graph; each moves only its frontier.
@@ -65,9 +65,8 @@ def closure(edges: DataFrame, seeds: DataFrame, rounds: int = 20) -> DataFrame:
         spark.sparkContext.setCheckpointDir(folder)
     reached = seeds.select("nodo").distinct().checkpoint()
     frontier = reached
-    for _ in range(rounds):
+    while True:
         frontier = frontier.join(edges, F.col("nodo") == F.col("de")).select(F.col("a").alias("nodo")).distinct().join(reached, "nodo", "left_anti").checkpoint()
         if frontier.isEmpty():
-            break
+            return reached
         reached = reached.unionByName(frontier).checkpoint()
-    return reached

@@ -86,6 +86,11 @@ def test_pack_all_rows(spark, tmp_path):
     assert {r.norma_id: (r.usado, r.quedan) for r in catalog.QUERIES["q54_pack_context_all"](spark, str(tmp_path)).collect()} == want
 
 
+def test_closure_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(24)] + [(24, 3)], "de bigint, a bigint")
+    assert sorted(r.nodo for r in C.closure(edges, spark.createDataFrame([(0,)], "nodo bigint")).collect()) == list(range(25))
+
+
 def test_rrf_order_and_ties(spark):
     lists = [spark.createDataFrame([(1, a, i) for i, a in enumerate(x, 1)], "q int, id int, rango int") for x in ([3, 1], [1, 2])]
     assert [r.id for r in S.fuse(lists, "id", 2).orderBy("rango").collect()] == [1, 3]
