@@ -138,6 +138,13 @@ def test_scan_words_of_other_confusions(spark):
     assert got == {201: {"registradurla": "registraduría"}, 202: {"8rígida": "brígida"}, 203: {"sentenc1a": "sentencia"}}
 
 
+def test_scan_rebuilt_as_found(spark, tmp_path):
+    texts = ["el río cimarrón del franco-tirador y el franco-tirador"] * 200 + ["el río cima-\nrróri del puerto", "del franco-\ntirador"]
+    chunks(spark, texts).select("id", "texto").write.parquet(f"{tmp_path}/chunks.parquet")
+    assert {r.id: r.texto for r in P4.p4_rebuilt(spark, str(tmp_path)).collect()}[201] == "el río cimarrón del puerto"
+    assert {r.id for r in P4.p4_found(spark, str(tmp_path)).collect()} == {r.id for r in P4.p4_rebuilt(spark, str(tmp_path)).collect()}
+
+
 def test_copies(spark):
     texts = ["Ley Uno: texto", "ley   uno texto", "ley única texto", "Sala: A\nFecha: 1", "FECHA = 1; sala = a", None, " ", "Ley Uno: texto"]
     got = {(r.id_a, r.id_b) for r in P5.copies(chunks(spark, texts, {8: "D-1", 2: "d_1"})).collect()}
