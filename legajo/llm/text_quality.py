@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_text, table
+from .common import checkpointed, map_text, table
 
 CLASSES = ("prosa", "lista", "tabla", "basura")
 PROSE, LIST, TABLE, JUNK = range(4)
@@ -35,8 +35,30 @@ STATS = (
 
 
 _ENDS = frozenset(".;:!?…\"»”)]")
-#: Every form that _CODE takes as code has one of these.
-_CODE_CHARS = frozenset("{}<>=&@#")
+#: Every line that _CODE takes as code has one of these marks, a parenthesis and a semicolon, or one of the words at its start.
+_CODE_MARKS, _CODE_WORDS = "{}<>=&@#$", ("var", "let", "const", "function", "return", "import", "if")
+#: Longest list of common words: it is fixed and given, and travels to the workers.
+COMMON_WORDS = 100_000
+
+
+def _code(line: str) -> bool:
+    """Whether a stripped line looks like code."""
+    return (line.startswith(_CODE_WORDS) or ";" in line and "(" in line or any(m in line for m in _CODE_MARKS)) and _CODE.search(line) is not None
+
+
+class _Odd(dict):
+    """Whether a token is strange; decided once for each of the recent short tokens, emptied when full."""
+
+    def __missing__(self, token: str) -> bool:
+        odd = len(token) > 1 and _STRANGE.search(token) is not None
+        if len(token) <= 32:
+            if len(self) >= 200_000:
+                self.clear()
+            self[token] = odd
+        return odd
+
+
+_ODD = _Odd()
 
 
 def measure(text: str, common: frozenset[str]) -> tuple:
@@ -45,7 +67,7 @@ def measure(text: str, common: frozenset[str]) -> tuple:
     A word is a maximal run of letters; symbols are what is neither letter, digit nor white space, among what isn't
     white space; lines that hold only white space don't count.  A text without words or lines has zeros.
     """
-    words = _WORD.findall(text.lower())
+    words = _WORD.findall(text.replace("İ", "I").lower())
     n = len(words)
     counts = Counter(words)
     letters = sum(map(len, words))
@@ -57,12 +79,11 @@ def measure(text: str, common: frozenset[str]) -> tuple:
     m = max(1, len(lines))
     ended = marked = cells = coded = 0
     widths: Counter = Counter()
-    code_like = not _CODE_CHARS.isdisjoint(text) or ");" in text or ") ;" in text or "$(" in text
     for raw in lines:
         line = raw.strip()
         ended += line[-1] in _ENDS and bool(_ENDING.search(line))
         marked += bool(_MARK.match(line)) or line[-1].isdigit() and (".." in line or "…" in line or "__" in line or ". ." in line) and bool(_LEADERS.search(line))
-        coded += code_like and bool(_CODE.search(line))
+        coded += _code(line)
         k = 1
         for sep in ("|", "\t", ";"):
             if sep in line:
@@ -76,7 +97,7 @@ def measure(text: str, common: frozenset[str]) -> tuple:
     top_width = max((v for k, v in widths.items() if k >= 2), default=0)
     top = max(counts.values(), default=0)
     sentences = len(_SENTENCE.findall(text))
-    mixed = 0 if not _strange(text) else sum(1 for t in tokens if len(t) > 1 and _odd(t))
+    mixed = sum(map(_ODD.__getitem__, tokens))
     longest = max(map(len, tokens), default=0)
     rare = 1.0 if longest > 60 and longest > 0.3 * solid else 0.0
     return (
@@ -88,18 +109,6 @@ def measure(text: str, common: frozenset[str]) -> tuple:
 _STRANGE = re.compile(r"&#\d+;|\\[xu][0-9a-f]{2}|%[0-9A-F]{2}(?![\w%])|(?<!\S)(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{4}(?!\S)|[A-Za-zÀ-ÿ](?:[#@~%^*¤¬¦§±†‡‰•µ¶=+]|;(?=\w))|[#@~%^*¤¬¦±†‡‰•¶][A-Za-zÀ-ÿ]|[A-Za-z][Ѐ-ӿ　-鿿]|[Ѐ-ӿ　-鿿][A-Za-zÀ-ÿ]|[a-z]\d+[A-Za-z]+\d|[A-Za-z]\d[A-Za-z]\d|([^\w\s])\1{4,}|[þðøæ][a-zß]*[þðøæß]|[a-z][A-Z][a-z]?[A-Z][a-z]")
 
 
-_RARE = re.compile(r"[#@~^*¤¬¦§±†‡‰•µ¶=+\\\u0400-\u04ff\u3000-\u9fffþðøæß]|%(?=[0-9A-F])|(?<=\w)[%;](?=\w)|[A-Za-zÀ-ÿ]%|%[A-Za-zÀ-ÿ]|(?<=[A-Za-z])\d|([^\w\s])\1{4}|[a-z][A-Z]|(?<!\S)[0-9a-f]{4}(?!\S)")
-
-
-def _strange(text: str) -> bool:
-    """Whether any token may be strange: a cheap scan that most prose ends at."""
-    return _RARE.search(text) is not None and _STRANGE.search(text) is not None
-
-
-def _odd(token: str) -> bool:
-    return _STRANGE.search(token) is not None
-
-
 # Each labelling function: the type it votes for and its threshold on the statistics.
 FUNCTIONS = (
     (PROSE, lambda s: s["comunes"] >= 0.3 and s["palabras"] >= 8 and s["distintas"] > 0.15),
@@ -169,9 +178,11 @@ def posterior(bits: np.ndarray, prior: np.ndarray, chance: np.ndarray) -> np.nda
 def statistics(documents: DataFrame, common: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per text that isn't null or blank: key, the statistics, and the votes (patron).  A narrow map.
 
-    The common words are a fixed list (three languages); only its words travel.
+    The common words are a fixed list; only its words travel, and a list of more than COMMON_WORDS raises.
     """
-    listed = frozenset(r[0] for r in common.select(F.lower("palabra")).where("palabra IS NOT NULL").distinct().limit(100_000).collect())
+    listed = frozenset(r[0] for r in common.select(F.lower("palabra")).where("palabra IS NOT NULL").distinct().limit(COMMON_WORDS + 1).collect())
+    if len(listed) > COMMON_WORDS:
+        raise ValueError(f"more than {COMMON_WORDS} common words")
     kind = dict(documents.dtypes)[key]
 
     def fn(k: object, t: str) -> Iterator[tuple]:
@@ -183,20 +194,21 @@ def statistics(documents: DataFrame, common: DataFrame, key: str = "doc_id", tex
 
 
 def typed(documents: DataFrame, common: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """statistics() with clase, the type of highest posterior, and confianza, that posterior."""
-    from itertools import chain
+    """statistics() with clase, the type of highest posterior, and confianza, that posterior.
 
-    stats = statistics(documents, common, key, text)
-    kept = stats.persist()
+    The statistics are written once to the shared checkpoint folder; the vote patterns (2^16 at most) are counted there and
+    joined back with their class.
+    """
+    kept = checkpointed(statistics(documents, common, key, text))
     counts = {r.patron: r["n"] for r in kept.groupBy("patron").agg(F.count(F.lit(1)).alias("n")).collect()}
     prior, chance = learn(counts)
     seen = sorted(counts)
-    if not seen:
-        return stats.withColumn("clase", F.lit(None).cast("string")).withColumn("confianza", F.lit(None).cast("double"))
-    post = posterior((np.array(seen)[:, None] >> np.arange(len(FUNCTIONS))) & 1, prior, chance)
-    names = F.create_map(*map(F.lit, chain.from_iterable((p, CLASSES[int(i)]) for p, i in zip(seen, post.argmax(1)))))
-    sure = F.create_map(*map(F.lit, chain.from_iterable((p, float(x)) for p, x in zip(seen, post.max(1)))))
-    return kept.withColumn("clase", names[F.col("patron")]).withColumn("confianza", sure[F.col("patron")])
+    rows = []
+    if seen:
+        post = posterior((np.array(seen)[:, None] >> np.arange(len(FUNCTIONS))) & 1, prior, chance)
+        rows = [(p, CLASSES[int(i)], float(x)) for p, i, x in zip(seen, post.argmax(1), post.max(1))]
+    classes = documents.sparkSession.createDataFrame(rows, "patron int, clase string, confianza double")
+    return kept.join(F.broadcast(classes), "patron").select(*kept.columns, "clase", "confianza")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,5 +221,22 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "palabras_comunes"))
 
 
-QUERIES = {"p9_found": p9_found, "p9_statistics": p9_statistics}
-SQL: dict[str, str] = {}
+def p9_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five plain statistics of every document that has a text, rounded."""
+    stats = statistics(table(spark, sf_dir, "documents"), table(spark, sf_dir, "palabras_comunes"))
+    return stats.select("doc_id", "palabras", *[F.round(c, 6).alias(c) for c in ("longitud_media", "simbolos", "lineas_puntuadas", "comunes")])
+
+
+QUERIES = {"p9_found": p9_found, "p9_statistics": p9_statistics, "p9_plain": p9_plain}
+SQL = {
+    "p9_plain": r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{Nl}\p{No}]+') AS w, regexp_replace(text, '[\s\p{Z}\x{1c}-\x{1f}\x{85}]+', '', 'g') AS s,
+    list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[\s\p{Z}\x{1c}-\x{1f}\x{85}]+|[\s\p{Z}\x{1c}-\x{1f}\x{85}]+$', '', 'g')), lambda x: x <> '') AS l
+  FROM documents WHERE text IS NOT NULL),
+c AS (SELECT list(DISTINCT lower(palabra)) AS c FROM palabras_comunes WHERE palabra IS NOT NULL)
+SELECT doc_id, len(w)::BIGINT AS palabras, round(CASE WHEN len(w) = 0 THEN 0 ELSE list_sum(list_transform(w, lambda x: length(x))) / len(w)::DOUBLE END, 6)::DOUBLE AS longitud_media,
+  round(length(regexp_replace(s, '[\p{L}\p{Nl}\p{No}0-9]', '', 'g')) / length(s)::DOUBLE, 6)::DOUBLE AS simbolos,
+  round(len(list_filter(l, lambda x: regexp_matches(x, '[.;:!?…]["»”)\]]*$'))) / len(l)::DOUBLE, 6)::DOUBLE AS lineas_puntuadas,
+  round(len(list_filter(w, lambda x: list_contains(c, x))) / greatest(1, len(w))::DOUBLE, 6)::DOUBLE AS comunes
+FROM t, c WHERE length(s) > 0"""
+}
