@@ -11,6 +11,7 @@ continuation was dropped can't be recovered; they are marked with U+FFFD and rep
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from .common import map_text, table
 
 LOST = "�"
+CYRILLIC = re.compile(r"[Ѐ-џ]")
 SPANISH = "áéíóúüñÁÉÍÓÚÜÑ"
 ORDINARY = SPANISH + "¿¡«»°º"
 #: Code pages through which UTF-8 was misread.
@@ -44,7 +46,8 @@ def _page(codec: str) -> dict[str, int]:
 
 PAGES = {c: _page(c) for c in {*MULTIBYTE, *(r for r, _ in SINGLE)}}
 RUNS = {c: re.compile("[" + "".join(map(re.escape, PAGES[c])) + "]{2,}") for c in MULTIBYTE}
-LEADS = {c: frozenset(x for x, b in PAGES[c].items() if b in (0xC2, 0xC3, 0xC4, 0xC5, 0xD0, 0xD1, 0xE2, 0xEF, 0xF0)) for c in MULTIBYTE}
+#: Characters that stand for the lead byte of a multibyte character.
+LEADS = {c: frozenset(x for x, b in PAGES[c].items() if 0xC2 <= b <= 0xF4) for c in MULTIBYTE}
 
 
 def _automaton() -> list[list[int]]:
@@ -85,15 +88,35 @@ def spans(data: bytes) -> Iterator[tuple[int, int]]:
         at = done if done > start else start + 1
 
 
-def _plausible(piece: str, before: str, codec: str) -> bool:
-    """Whether a decoded span is what a Spanish source may have held, and its misreading isn't ordinary text itself."""
-    for c in piece:
-        o = ord(c)
-        if not (0x80 <= o < 0xA0 and codec == "cp1252" or 0xA0 <= o <= 0x17F or 0x400 <= o <= 0x45F or 0x2010 <= o <= 0x27BF or c in "ƒˆ˜\ufeff" + LOST or o >= 0x1F300):
-            return False
-    if any(0x400 <= ord(c) <= 0x45F for c in piece) and len(piece) < 2:
+@lru_cache(maxsize=4096)
+def _script(c: str) -> str:
+    """The script of a letter, '' for all else."""
+    return unicodedata.name(c, "").split(" ")[0].removesuffix("-") if unicodedata.category(c)[0] in "LM" else ""
+
+
+def _ordinary(piece: str, read: str, codec: str) -> bool:
+    """Whether the misread form of a well-formed span may be ordinary text itself, so that it proves nothing.
+
+    What decodes to Latin letters with marks, typography or symbols was garbled: no source writes such pairs.  Other
+    alphabets prove themselves by two letters or more of one script; a single ideograph by a misread form that isn't all
+    typography and Spanish letters.  Undefined characters prove nothing.
+    """
+    common = all(0x80 <= o < 0xA0 and codec == "cp1252" or 0xA0 <= o <= 0x17F or 0x2010 <= o <= 0x27BF or c in "ƒˆ˜\ufeff" + LOST or o >= 0x1F300 for c in piece for o in (ord(c),))
+    if common:
         return False
-    return not (codec == "cp1251" and before and 0x400 <= ord(before) <= 0x45F)
+    letters = [x for x in map(_script, piece) if x]
+    if any(unicodedata.category(c) in ("Cn", "Co", "Cs") for c in piece) or not letters:
+        return True
+    strange = any(c not in WEAK and c not in ORDINARY for c in read)
+    if len(letters) >= 2:
+        # a run of the code page's own alphabet, or of letters from many alphabets, is a source's text
+        return not strange or len(set(letters) - {"LATIN", "HIRAGANA", "KATAKANA"}) > 1
+    return not (strange and len(read) >= 3 and letters[0] in ("CJK", "HANGUL", "HIRAGANA", "KATAKANA"))
+
+
+def _plausible(piece: str, read: str, beside: str, codec: str) -> bool:
+    """Whether a well-formed span was garbled: its misreading isn't ordinary text, and isn't part of a Cyrillic word."""
+    return not _ordinary(piece, read, codec) and not (codec == "cp1251" and CYRILLIC.search(beside))
 
 
 def _decode_runs(text: str, codec: str) -> tuple[str, int]:
@@ -106,8 +129,8 @@ def _decode_runs(text: str, codec: str) -> tuple[str, int]:
         out, last = [], 0
         for a, b in spans(data):
             piece = data[a:b].decode("utf-8")
-            before = run[a - 1] if a else text[m.start() - 1 : m.start()]
-            if _plausible(piece, before, codec):
+            beside = text[max(0, m.start() + a - 1) : m.start() + a] + text[m.start() + b : m.start() + b + 1]
+            if _plausible(piece, run[a:b], beside, codec):
                 out += [run[last:a], piece]
                 last = b
                 count += 1
@@ -162,7 +185,6 @@ ODD = re.compile(r"[^\s\x00-\x7f" + ORDINARY + r"]|[a-záéíóúñ][ÁÉÍÓÚ
 WORD = re.compile(r"\S+")
 #: UTF-8 leads of accented letters whose continuation byte was dropped on the way.
 HEADLESS = re.compile(r"(?<=[a-záéíóúñ])[ÃÂ](?![\x80-\xbf])|(?<=[A-ZÑ]{2})Ã(?=[B-DF-NP-RT-Z]|A\b)|(?<=[a-z])├(?![\w])")
-CYRILLIC = re.compile(r"[Ѐ-џ]")
 
 
 def repair(text: str) -> tuple[str, int, int, str]:
@@ -173,17 +195,19 @@ def repair(text: str) -> tuple[str, int, int, str]:
     if text.isascii():
         return text, 0, 0, ""
     lost, mended, pages = text.count(LOST), 0, []
-    for _ in range(3):
-        before, chars = mended, set(text)
+    # each pass takes the code page that explains most, and shortens the text, so this ends
+    while True:
+        chars, tries = set(text), []
         for codec in MULTIBYTE:
-            if chars.isdisjoint(LEADS[codec]):
-                continue
-            text, n = _decode_runs(text, codec)
-            if n:
-                mended += n
-                pages.append(f"utf-8>{codec}")
-        if mended == before:
+            if not chars.isdisjoint(LEADS[codec]):
+                out, n = _decode_runs(text, codec)
+                if n:
+                    tries.append((len(out), codec, out, n))
+        if not tries:
             break
+        _, codec, text, n = min(tries, key=lambda t: (t[0], MULTIBYTE.index(t[1])))
+        mended += n
+        pages.append(f"utf-8>{codec}")
     votes: dict[str, list[tuple[str, bool]]] = {}
     if ODD.search(text):
         for word in text.split():
@@ -226,7 +250,7 @@ def repair(text: str) -> tuple[str, int, int, str]:
 
 
 #: Superset of what the operator can act on; keeps clean rows out of Python.
-SUSPECT = r"[^\x00-\x7fáéíóúüñÁÉÍÓÚÜÑ«»¿¡°º\x{ad}\x{a0}©–•●📎]|[a-záéíóúñ][ÁÉÍÓÚÜÑ]|[A-Z][ÁÉÍÓÚÜÑ][a-z]"
+SUSPECT = r"[ÁÉÍÓÚÜÑáéíóúñ][«»¿¡°º\x{ad}\x{a0}©–•]|[^\x00-\x7fáéíóúüñÁÉÍÓÚÜÑ«»¿¡°º\x{ad}\x{a0}©–•●📎]|[a-záéíóúñ][ÁÉÍÓÚÜÑ]|[A-Z][ÁÉÍÓÚÜÑ][a-z]"
 _SUSPECT = re.compile(SUSPECT.replace("x{ad}", "xad").replace("x{a0}", "xa0"))
 
 
@@ -235,7 +259,6 @@ def suspicious(text: str) -> bool:
     return _SUSPECT.search(text) is not None
 
 
-
 def repaired(chunks: DataFrame, key: str = "id", text: str = "texto") -> DataFrame:
     """One row per affected text: key, restored text, spans mended, places lost, code pages.
 
