@@ -1,9 +1,10 @@
 """Problem 8: passages of evaluation items inside the training text.
 
 Windows of twelve words are hashed through spaced seeds: fixed masks that ignore some positions, so a window whose
-ignored words were replaced still hits.  The test items' hashes go into a bit set of fixed size that every training
-window is held against in place; only the hits are joined with the test windows, and the words around a hit are
-compared: all twelve for a leak, most of them for a near leak.
+ignored words were replaced still hits.  The test items' hashes go into a bit set, sized by their count, that every
+training window is held against in place; only the hits are joined with the test windows, and the words around a hit are
+compared: all twelve for a leak, most of them for a near leak.  Above BIT_SET_HASHES the bit set would no longer be small,
+and the seeds of both sides are joined by shuffle instead.
 """
 
 from __future__ import annotations
@@ -19,15 +20,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_text, table
+from .common import checkpointed, map_text, table
 
 WINDOW = 12
 #: Each mask looks at two of four interleaved groups of three positions and ignores the others.  Any two positions lie in at
 #: most two groups, which some mask ignores, so a window with one or two replaced words hits through at least one mask.
 GROUPS = tuple(tuple(range(g, WINDOW, 4)) for g in range(4))
 MASKS = tuple(combinations(range(4), 2))
-#: Size of the bit set in bits; it is broadcast and doesn't grow with either table.
-BITS = 1 << 26
+#: Bits for each hash, so that one window in so many hits by chance; and the smallest bit set.
+SPARSE, LEAST_BITS = 64, 1 << 20
+#: Up to so many hashes the bit set (128 MB at most, compressed to less) is broadcast.
+BIT_SET_HASHES = 1 << 24
 #: Windows with at least so many equal words count as near leaks.
 NEAR = 10
 #: Up to this size of the test windows (checked by count) a hit is joined by broadcast, else by shuffle.
@@ -122,22 +125,27 @@ def _item_seeds(items: DataFrame, masks: int) -> DataFrame:
     return map_text(items, "id", "texto", f"h bigint, id {kind}, campo string, ventana string", lambda k, t, c: fn(k, t, c), carry=("campo",)).distinct()
 
 
-def _bit_set(seeds: DataFrame) -> bytes:
-    """The hashes folded to BITS bits; what reaches the driver is one bit set for each partition, never the hashes."""
+def bit_count(hashes: int) -> int:
+    """The size of the bit set for so many hashes: a power of two."""
+    return max(LEAST_BITS, 1 << (SPARSE * max(1, hashes) - 1).bit_length())
+
+
+def _bit_set(seeds: DataFrame, size: int) -> bytes:
+    """The hashes folded to ``size`` bits; what reaches the driver is one bit set for each partition, never the hashes."""
     schema = pa.schema([("b", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
-        bits = np.zeros(BITS // 8, np.uint8)
+        bits = np.zeros(size // 8, np.uint8)
         for batch in batches:
-            at = batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64) % np.uint64(BITS)
+            at = batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64) % np.uint64(size)
             np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, (at & np.uint64(7)).astype(np.int64)).astype(np.uint8))
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())], schema=schema)
 
     import zlib
 
-    total = np.zeros(BITS // 8, np.uint8)
+    total = np.zeros(size // 8, np.uint8)
     for row in seeds.select("h").coalesce(4).mapInArrow(run, "b binary").toLocalIterator():
         total |= np.frombuffer(zlib.decompress(row.b), np.uint8)
     return zlib.compress(total.tobytes(), 1)
@@ -153,14 +161,15 @@ def hits(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     exact = least >= WINDOW
     # equal windows hit through every mask: three of them are enough
     masks = 3 if exact else len(MASKS)
-    seeds = _item_seeds(items, masks).persist()
+    seeds = checkpointed(_item_seeds(items, masks))
     count = seeds.count()
-    packed = spark.sparkContext.broadcast(_bit_set(seeds))
+    size = bit_count(count)
+    packed = spark.sparkContext.broadcast(_bit_set(seeds, size)) if count <= BIT_SET_HASHES else None
     key_kind = dict(documents.dtypes)[key]
     state: dict = {}
 
     def fn(k: object, t: str) -> Iterator[tuple]:
-        if "bits" not in state:
+        if packed and "bits" not in state:
             import zlib
 
             state["bits"] = np.frombuffer(zlib.decompress(packed.value), np.uint8)
@@ -168,8 +177,11 @@ def hits(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
         if len(tokens) < WINDOW:
             return
         hashes = seed_hashes(tokens, masks)
-        at = hashes % np.uint64(BITS)
-        hit = (state["bits"][(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
+        if packed:
+            at = hashes % np.uint64(size)
+            hit = (state["bits"][(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
+        else:
+            hit = np.ones(hashes.shape, np.uint8)
         if exact:
             # equal windows hit through every mask; one of the hits is enough
             hit[0] &= hit[1] & hit[2]
@@ -205,5 +217,17 @@ t AS (SELECT id, pregunta AS t FROM preguntas UNION SELECT id, pregunta FROM cla
 q AS (SELECT id, regexp_extract_all(strip_accents(lower(t)), '[\p{L}\p{N}]+') AS w FROM t WHERE t IS NOT NULL),
 a AS (SELECT DISTINCT id, array_to_string(w[i : i + 11], ' ') AS g FROM (SELECT id, w, unnest(generate_series(1, len(w) - 11)) AS i FROM q)),
 b AS (SELECT doc_id, array_to_string(w[i : i + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 11)) AS i FROM w))
-SELECT DISTINCT doc_id, id FROM a JOIN b USING (g)"""
+SELECT DISTINCT doc_id, id FROM a JOIN b USING (g)""",
+    # a window with two replaced words keeps one of its three blocks of four words whole
+    "p8_near": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+t AS (SELECT 'pregunta' AS campo, id, pregunta AS t FROM preguntas UNION SELECT 'pregunta', id, pregunta FROM clave_oro UNION SELECT 'respuesta_esperada', id, respuesta_esperada FROM clave_oro),
+q AS (SELECT campo, id, regexp_extract_all(strip_accents(lower(t)), '[\p{L}\p{N}]+') AS w FROM t WHERE t IS NOT NULL),
+a AS (SELECT DISTINCT campo, id, w[i : i + 11] AS x FROM (SELECT campo, id, w, unnest(generate_series(1, len(w) - 11)) AS i FROM q)),
+b AS (SELECT DISTINCT doc_id, w[i : i + 11] AS y FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 11)) AS i FROM w)),
+ka AS (SELECT campo, id, x, k, array_to_string(x[4 * k + 1 : 4 * k + 4], ' ') AS g FROM a, range(0, 3) r(k)),
+kb AS (SELECT doc_id, y, k, array_to_string(y[4 * k + 1 : 4 * k + 4], ' ') AS g FROM b, range(0, 3) r(k)),
+p AS (SELECT DISTINCT doc_id, id, campo, x, y FROM ka JOIN kb USING (k, g)),
+n AS (SELECT doc_id, id, campo, len(list_filter(range(1, 13), lambda i: x[i] = y[i])) AS iguales FROM p)
+SELECT doc_id, id, campo, max(iguales)::INT AS iguales FROM n WHERE iguales >= 10 GROUP BY 1, 2, 3""",
 }
