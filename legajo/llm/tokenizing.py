@@ -155,8 +155,8 @@ def _tables(path: str) -> tuple[list[bytes], PerfectHash]:
     return keys, PerfectHash(keys)
 
 
-def encoded(documents: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """(key, ids): the ids of every text as stored; an empty list for empty and null texts.  Repeated rows stay.
+def encoded(documents: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, carry: str | None = None) -> DataFrame:
+    """(key, ids), and the column ``carry`` if given: the ids of every text as stored; an empty list for empty and null texts.  Repeated rows stay.
 
     Strings that look like special tokens are ordinary text.  A narrow map: no shuffle, one pass.
     """
@@ -164,11 +164,12 @@ def encoded(documents: DataFrame, key: str = "doc_id", text: str = "text", path:
 
     spark = documents.sparkSession
     tables = spark.sparkContext.broadcast(_tables(path or vocabulary_path()))
-    kind = documents.select(f"`{key}`").schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    key_type = to_arrow_schema(kind).field(0).type
-    target = pa.schema([(key, key_type), ("ids", pa.list_(pa.int32()))])
+    kept = [F.col(f"`{c}`") for c in ((key, carry) if carry else (key,))]
+    around = documents.select(*kept).schema
+    target = to_arrow_schema(around).append(pa.field("ids", pa.list_(pa.int32())))
+    at_text = len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -181,15 +182,15 @@ def encoded(documents: DataFrame, key: str = "doc_id", text: str = "text", path:
                 batch = whole.slice(at, 1000)
                 flat: list[int] = []
                 ends = [0]
-                for t in batch.column(1).to_pylist():
+                for t in batch.column(at_text).to_pylist():
                     if t:
                         flat.extend(chain.from_iterable(map(memo.__getitem__, words(t))))
                     ends.append(len(flat))
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), ids], schema=target)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).cast(target.field(i).type) for i in range(at_text)), ids], schema=target)
 
-    name = documents.select(f"`{key}`").schema.fields[0].dataType.simpleString()
-    return documents.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, f"`{key}` {name}, ids array<int>")
+    ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in around)
+    return documents.select(*kept, F.col(f"`{text}`")).mapInArrow(run, ddl + "ids array<int>")
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,10 +200,8 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens by language: documents and tokens (the corpus's size in tokens)."""
-    documents = table(spark, sf_dir, "documents")
-    sizes = encoded(documents.select("doc_id", "text")).select("doc_id", F.size("ids").cast("bigint").alias("n"))
-    langs = documents.select("doc_id", F.coalesce(F.lower("lang"), F.lit("und")).alias("lang"))
-    return langs.join(sizes, "doc_id").groupBy("lang").agg(F.count(F.lit(1)).alias("documentos"), F.sum("n").alias("tokens"))
+    rows = encoded(table(spark, sf_dir, "documents"), carry="lang")
+    return rows.groupBy(F.coalesce(F.lower("lang"), F.lit("und")).alias("lang")).agg(F.count(F.lit(1)).alias("documentos"), F.sum(F.size("ids").cast("bigint")).alias("tokens"))
 
 
 QUERIES = {"p7_ids": p7_ids, "p7_lengths": p7_lengths}
