@@ -12,7 +12,7 @@ import heapq
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import map_text, table
@@ -21,7 +21,9 @@ LIMIT = 1500
 OVERLAP = 200
 
 HARD, WORD, SENTENCE, PARAGRAPH, ARTICLE = range(5)
-_LABEL = r"(?:transitorio\s+)?(?:\d+(?:\.\d+)*[A-Z]?|[uú]nico|primero|segundo|tercero)"
+_UNITS = r"(?:primer[oa]?|segund[oa]|tercer[oa]?|cuart[oa]|quint[oa]|sext[oa]|s[eé]ptim[oa]|octav[oa]|noven[oa])"
+_TENS = r"(?:d[eé]cim[oa]|vig[eé]sim[oa]|trig[eé]sim[oa]|cuadrag[eé]sim[oa]|quincuag[eé]sim[oa]|sexag[eé]sim[oa]|septuag[eé]sim[oa]|octog[eé]sim[oa]|nonag[eé]sim[oa]|cent[eé]sim[oa])"
+_LABEL = rf"(?:transitorio\s+)?(?:\d+(?:\.\d+)*[A-Z]?|[uú]nico|{_TENS}(?:[ \t]*{_UNITS})?|und[eé]cim[oa]|duod[eé]cim[oa]|{_UNITS})"
 HEADING = re.compile(rf"(?im)^[ \t]*art(?:[íi]culo|\.)[ \t]+({_LABEL})(?=[ \t]*[º°o]?[ \t]*[.:\-–—]|[ \t]*[º°])")
 BREAKS = (
     (PARAGRAPH, re.compile(r"\n\s*")),
@@ -141,5 +143,16 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces(table(spark, sf_dir, "chunks"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces}
-SQL = {"p3_found": "SELECT id FROM chunks WHERE length(texto) > 1500"}
+def p3_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the pieces of every oversized chunk add up to: where they begin and end, gaps, pieces above the limit, overlaps above 200 and texts that aren't the chunk's."""
+    w = Window.partitionBy("id").orderBy("pieza")
+    rows = pieces(table(spark, sf_dir, "chunks")).select("id", "pieza", "inicio", "fin", F.length("texto").alias("n"), F.lag("fin").over(w).alias("previo"), F.lag("inicio").over(w).alias("antes"))
+    bad = lambda c: F.count_if(c)
+    return rows.groupBy("id").agg(F.min("inicio").alias("inicio"), F.max("fin").alias("fin"), bad(F.col("inicio") > F.col("previo")).alias("huecos"), bad(F.col("fin") - F.col("inicio") > LIMIT).alias("largas"), bad((F.col("previo") - F.col("inicio") > OVERLAP) | (F.col("inicio") <= F.col("antes"))).alias("solapes"), bad(F.col("n") != F.col("fin") - F.col("inicio")).alias("otras"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p3_cover": p3_cover}
+SQL = {
+    "p3_found": "SELECT id FROM chunks WHERE length(texto) > 1500",
+    "p3_cover": "SELECT id, 0::BIGINT AS inicio, length(texto)::BIGINT AS fin, 0::BIGINT AS huecos, 0::BIGINT AS largas, 0::BIGINT AS solapes, 0::BIGINT AS otras FROM chunks WHERE length(texto) > 1500",
+}
