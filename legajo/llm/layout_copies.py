@@ -3,7 +3,8 @@
 Everything is built-in expressions: a canonical key per row, counted exactly with map-side partial counts; keys whose
 count passes a bound are hot.  Hot keys are salted into a two-level aggregation, all others go through one shuffle by
 key; the representative of a group is its smallest id.  The hot keys' table is bounded by rows / threshold, which the
-threshold keeps at HOT_KEYS at most, so it may be broadcast at any scale.
+threshold keeps at HOT_KEYS at most, so it may be broadcast at any scale.  The keys are computed once and written to the
+shared checkpoint folder: (id, hash) only, never texts.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import checkpointed, table
 
 #: Upper bound of hot keys (each a hash and two longs), hence of what is broadcast.
 HOT_KEYS = 10_000
@@ -72,7 +73,7 @@ def copies(rows: DataFrame, key: str = "id", group: str = "doc_id", text: str =
 
     Null and blank texts and null groups are never copies; an id that occurs twice in the input stands for one row.
     """
-    ids = keyed(rows, key, group, text)
+    ids = checkpointed(keyed(rows, key, group, text))
     _, hot_rows, rest = _split(ids)
     pairs = hot_rows.join(F.broadcast(_representatives(hot_rows)), "k").select("id_a", F.col("id").alias("id_b"))
     by_key = rest.withColumn("id_a", F.min("id").over(Window.partitionBy("k"))).select("id_a", F.col("id").alias("id_b"))
@@ -81,7 +82,7 @@ def copies(rows: DataFrame, key: str = "id", group: str = "doc_id", text: str =
 
 def groups(rows: DataFrame, key: str = "id", group: str = "doc_id", text: str = "texto") -> DataFrame:
     """One row per record: (id, copias): its smallest id and how many copies it had, itself included."""
-    _, hot_rows, rest = _split(keyed(rows, key, group, text))
+    _, hot_rows, rest = _split(checkpointed(keyed(rows, key, group, text)))
     one_level = rest.groupBy("k").agg(F.min("id").alias("id_a"), F.count(F.lit(1)).alias("copias"))
     return _representatives(hot_rows).unionByName(one_level).select(F.col("id_a").alias("id"), "copias")
 
