@@ -85,6 +85,9 @@ class _Markup(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.builder = Builder()
+        #: By line of the source: its visible text, and whether hidden text stands in it.
+        self.shown: dict[int, str] = {}
+        self.veiled: set[int] = set()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "br":
@@ -99,6 +102,13 @@ class _Markup(HTMLParser):
         self.builder.close(tag)
 
     def handle_data(self, data: str) -> None:
+        hidden = self.builder.stack[-1].hidden
+        for n, piece in enumerate(data.split("\n"), self.getpos()[0]):
+            if piece.strip():
+                if hidden:
+                    self.veiled.add(n)
+                else:
+                    self.shown[n] = self.shown.get(n, "") + piece
         self.builder.text(data)
 
 
@@ -147,12 +157,24 @@ MARKUP = re.compile(r"<(?:html|body|div|p|nav|ul|table|main|article|section|br)\
 
 def render_markup(page: str) -> str:
     """The visible text of an HTML page."""
+    out: list[str] = []
+    _render(_parsed(page).builder.root, out)
+    return "\n".join(out)
+
+
+def _parsed(page: str) -> _Markup:
     parser = _Markup()
     parser.feed(page)
     parser.close()
-    out: list[str] = []
-    _render(parser.builder.root, out)
-    return "\n".join(out)
+    return parser
+
+
+def markup_lines(page: str) -> list[int]:
+    """Numbers of the lines of an HTML page that hold the portal's text only: hidden by their tags, or boilerplate by the look of what they show."""
+    parser = _parsed(page)
+    last = page.count("\n") + 1
+    shown = build_lines("\n".join(parser.shown.get(n, "") for n in range(1, last + 1)))[1]
+    return sorted({n for n in parser.veiled if n not in parser.shown} | set(shown))
 
 
 # ---- lines whose look implies their block --------------------------------------------------------------------------
@@ -212,18 +234,21 @@ def _fold(line: str) -> str:
     return " ".join(out.split())
 
 
-BANNER = re.compile(r"cookies?|galletas|rastreadores|tecnolog.as de seguimiento", re.I)
+#: Items of a bar in any wording: what separates them, and what one looks like.
+SEPARATOR = re.compile(r"\s*[·»>•›]\s*|\s+[|/]\s+")
+LINK = re.compile(r"[A-ZÁÉÍÓÚÑ][A-ZÁÉÍÓÚÑa-záéíóúñ]+(?: [A-ZÁÉÍÓÚÑa-záéíóúñ]+){0,3}")
+#: A notice on cookies in any wording: it names them and speaks to the visitor of consent, visits or settings.
+CONSENT = re.compile(r"(?=.*\bcookies?\b)(?=.*\b(?:acept|consent|naveg|experiencia|preferencias|configur|visitantes?|accept|agree|settings|browsing|experience))(?:este|esta|nuestro|nuestra|al|si|usamos|utilizamos|empleamos|para|we|our|this|by|us[oa]|las|los|aceptas?|acepte)\b")
 
 
-def implied_block(line: str) -> str:
-    """As _implied_block; long lines can only be menus or cookie banners."""
-    if len(line) > 130 and not BANNER.search(line) and (line.count("  ") + len(MARK.findall(line)) < 3 or line.rstrip().endswith((".", ";"))):
-        return "main"
-    return _implied_block(line)
+def _bar(line: str) -> bool:
+    """Whether a line is a bar of links whatever their words: three items or more, each a short capitalised name."""
+    items = [x for x in SEPARATOR.split(line.strip().strip("·»>•›|/ ")) if x]
+    return len(items) >= 3 and all(map(LINK.fullmatch, items))
 
 
 @lru_cache(maxsize=100_000)
-def _implied_block(line: str) -> str:
+def implied_block(line: str) -> str:
     """The block a rendered line must have come from: nav, button, footer, side (a side block's title), item, name (an item only inside a side block) or main."""
     if not line.strip():
         return ""
@@ -236,8 +261,10 @@ def _implied_block(line: str) -> str:
         return "nav"
     if FOOTER.fullmatch(f):
         return "footer"
-    if COOKIE.fullmatch(f):
+    if COOKIE.fullmatch(f) or "cookie" in f and CONSENT.match(f):
         return "button"
+    if _bar(line):
+        return "nav"
     if ITEM.fullmatch(f):
         return "item"
     first = line.lstrip()[:1]
@@ -254,6 +281,8 @@ def build_lines(text: str) -> tuple[Node, list[int]]:
     for n, raw in enumerate(lines, 1):
         line = raw.rstrip("\r")
         kind = implied_block(line)
+        if kind == "nav" and "|" in line and _bar(line) and any(x.count("|") >= 2 for x in (*lines[max(0, n - 2) : n - 1], *lines[n : n + 1])):
+            kind = "main"  # a row among rows of a table
         if kind == "name":
             # a bare name is a side block's item or, between prose lines, part of them
             kind = "item" if any(x.tag == "aside" for x in b.stack) else "main"
@@ -288,12 +317,14 @@ def _visible(node: Node, out: list[str]) -> None:
 
 
 def main_body(text: str) -> tuple[str, list[int]]:
-    """Main body of a page's text and the numbers of the boilerplate lines (from 1; none where the text is markup).
+    """Main body of a page's text and the numbers of the boilerplate lines (from 1).
 
     Garbled lines are classified by their repaired form and emitted as they are.  Empty text gives an empty body.
     """
     if MARKUP.search(text):
-        return render_markup(text), []
+        shown: list[str] = []
+        _visible(build_lines(render_markup(text))[0], shown)
+        return "\n".join(shown), markup_lines(text)
     readable = repair(text)[0] if suspicious(text) else text
     if readable.count("\n") != text.count("\n"):
         readable = text
