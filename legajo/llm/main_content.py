@@ -249,7 +249,7 @@ def _bar(line: str) -> bool:
 
 @lru_cache(maxsize=100_000)
 def implied_block(line: str) -> str:
-    """The block a rendered line must have come from: nav, button, footer, side (a side block's title), item, name (an item only inside a side block) or main."""
+    """The block a rendered line must have come from: nav, bar (nav unless it stands in a table), button, footer, side (a side block's title), item, name (an item only inside a side block) or main."""
     if not line.strip():
         return ""
     f = _fold(line)
@@ -264,7 +264,7 @@ def implied_block(line: str) -> str:
     if COOKIE.fullmatch(f) or "cookie" in f and CONSENT.match(f):
         return "button"
     if _bar(line):
-        return "nav"
+        return "bar"
     if ITEM.fullmatch(f):
         return "item"
     first = line.lstrip()[:1]
@@ -281,8 +281,10 @@ def build_lines(text: str) -> tuple[Node, list[int]]:
     for n, raw in enumerate(lines, 1):
         line = raw.rstrip("\r")
         kind = implied_block(line)
-        if kind == "nav" and "|" in line and _bar(line) and any(x.count("|") >= 2 for x in (*lines[max(0, n - 2) : n - 1], *lines[n : n + 1])):
-            kind = "main"  # a row among rows of a table
+        if kind == "bar":
+            # a bar, or a row among rows of a table
+            row = "|" in line and any(x.count("|") >= 2 for x in (*lines[max(0, n - 2) : n - 1], *lines[n : n + 1]))
+            kind = "main" if row else "nav"
         if kind == "name":
             # a bare name is a side block's item or, between prose lines, part of them
             kind = "item" if any(x.tag == "aside" for x in b.stack) else "main"
