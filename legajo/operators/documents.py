@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import ordered as O
+
 BLOCK = frozenset("p div li tr br h1 h2 h3 h4 h5 h6 table section article ul ol blockquote".split())
 SKIP = frozenset("script style nav footer form noscript head".split())
 STRUCK = frozenset("s strike del".split())
@@ -144,9 +146,18 @@ def pages(df: DataFrame, key: str, text: str, expected: str) -> DataFrame:
     return rows.select(key, F.when(F.col("n") == F.col(expected), F.col("i") + 1).alias("pagina"), F.element_at("s", F.col("i") + 1).alias("inicio"), "texto")
 
 
-def assembled(parts: DataFrame, key: str, order: str, text: str) -> DataFrame:
-    """(key, texto, partes): a document of its parts in order, blank lines between, with each part's offsets."""
-    grouped = parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))).alias("p"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<o:bigint,inicio:int,fin:int>>").alias("xs"))
-    spans = F.aggregate("p", zero, lambda a, x: F.struct((a["at"] + F.length(x["t"]) + 2).alias("at"), F.concat(a["xs"], F.array(F.struct(x["o"].cast("bigint").alias("o"), a["at"].alias("inicio"), (a["at"] + F.length(x["t"])).alias("fin")))).alias("xs")))
-    return grouped.select(key, F.array_join(F.transform("p", lambda x: x["t"]), "\n\n").alias("texto"), spans["xs"].alias("partes"))
+def placed(parts: DataFrame, key: str, order: str, text: str) -> DataFrame:
+    """parts with (inicio, fin) of each in its document's whole text, in which a blank line stands between parts.
+
+    Only lengths are summed along the order, in range blocks, so a document of any size stays distributed.
+    """
+    n = F.length(text).cast("bigint")
+    at = O.running_sum(parts.select(key, order, n.alias("_n")), key, [order], F.col("_n") + 2, "inicio")
+    return at.select(key, order, "inicio", (F.col("inicio") + F.col("_n")).alias("fin"))
+
+
+def assembled(parts: DataFrame, key: str, order: str, text: str, limit: int) -> DataFrame:
+    """(key, texto): whole texts of the documents that have at most ``limit`` characters, blank lines counted; others aren't gathered."""
+    sizes = parts.groupBy(key).agg(F.sum(F.length(text) + 2).alias("_t")).where(F.col("_t") <= limit).select(key)
+    grouped = parts.join(sizes, key, "left_semi").groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))).alias("p"))
+    return grouped.select(key, F.array_join(F.transform("p", lambda x: x["t"]), "\n\n").alias("texto"))

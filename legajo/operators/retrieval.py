@@ -15,8 +15,11 @@ from ..functions import text as T
 
 K1, B = 1.2, 0.75
 RRF = 60
-#: Queries whose vectors are broadcast at a time (4,096 of 1,024 dimensions are 16 MB).
-QUERY_BLOCK = 4_096
+#: What is broadcast at a time: entries of a block of lexical queries (term and query, 16 bytes each), and bytes of query vectors.
+QUERY_ENTRIES = 2_000_000
+QUERY_BYTES = 32 << 20
+#: Vectors that a coarse quantizer is fitted on at most; every vector is indexed.
+FIT_VECTORS = 20_000
 
 
 def _schema(ddl: str) -> pa.Schema:
@@ -40,64 +43,87 @@ def query_terms(queries: DataFrame, qid: str, text: str) -> DataFrame:
     return queries.select(F.col(qid).alias("q"), F.explode(F.array_distinct(T.tokens(F.col(text)))).alias("t"))
 
 
-def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, qid: str, qtext: str, k: int) -> DataFrame:
+def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, qid: str, qtext: str, k: int, tokens=T.tokens) -> DataFrame:
     """(q, key, puntaje, rango): the k best texts of each query, ties by key; texts without a common term aren't ranked.
 
-    One pass counts in how many texts each query term occurs; a second weighs the terms of each text and multiplies
-    them with a block of queries at a time, so what is shuffled is k rows per query and batch, not postings.  Lengths
-    count all tokens; a text without tokens counts with length 0.
+    Queries pass in blocks of bounded entries.  For each block one pass counts the texts, their length and in how many
+    each of its terms occurs; a second weighs the terms of each text and adds them up by query, so what is shuffled is k
+    rows per query and batch, never postings.  Lengths count all tokens; a text without tokens counts with length 0.
     """
-    spark = docs.sparkSession
-    tokens = docs.select(key, T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("w"))
-    n, mean = tokens.agg(F.count(F.lit(1)), F.greatest(F.lit(1.0), F.avg(F.size("w")))).first()
-    terms = query_terms(queries, qid, qtext)
-    wanted = terms.select("t").distinct()
-    df = tokens.select(F.explode(F.array_distinct("w")).alias("t")).join(wanted, "t", "left_semi").groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    rows = terms.join(df, "t").groupBy("q").agg(F.collect_list(F.struct("t", "df")).alias("ts"))
-    block, found = [], []
-    for row in rows.toLocalIterator():
-        block.append((row.q, [(x.t, x.df) for x in row.ts]))
-        if len(block) == QUERY_BLOCK:
-            found.append(_bm25_block(spark, tokens, key, block, n, mean, k, dict(rows.dtypes)["q"]))
-            block = []
+    rows = docs.select(key, tokens(F.coalesce(F.col(text), F.lit(""))).alias("w"))
+    terms = queries.select(F.col(qid).alias("q"), F.array_distinct(tokens(F.col(qtext))).alias("ts")).where("size(ts) > 0")
+    kind, block, entries, found = dict(terms.dtypes)["q"], [], 0, []
+    for row in terms.toLocalIterator():
+        block.append((row.q, row.ts))
+        entries += len(row.ts)
+        if entries >= QUERY_ENTRIES:
+            found.append(_bm25_block(rows, key, block, k, kind))
+            block, entries = [], 0
     if block or not found:
-        found.append(_bm25_block(spark, tokens, key, block, n, mean or 1.0, k, dict(rows.dtypes)["q"]))
+        found.append(_bm25_block(rows, key, block, k, kind))
     return top(reduce(DataFrame.unionByName, found), "q", key, "puntaje", k)
 
 
-def _bm25_block(spark, tokens: DataFrame, key: str, block: list, n: int, mean: float, k: int, q_kind: str) -> DataFrame:
-    df = dict(x for _, ts in block for x in ts)
-    place = {t: i for i, t in enumerate(df)}
-    idf = np.log(1 + (n - np.array(list(df.values()), float) + 0.5) / (np.array(list(df.values()), float) + 0.5))
-    member = np.zeros((len(place), len(block)), np.float64)
+def _census(rows: DataFrame, wanted: list[str]) -> tuple[int, float, dict[str, int]]:
+    """(texts, mean length of at least 1, texts by term) of the wanted terms, counted in one pass."""
+    sent = rows.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(wanted)})
+    schema = _schema("i bigint, n bigint")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, n, total = sent.value, 0, 0
+        counts = np.zeros(len(at) + 2, np.int64)
+        for batch in batches:
+            for words in batch.column(0).to_pylist():
+                n, total = n + 1, total + len(words)
+                hit = [i for t in set(words) if (i := at.get(t)) is not None]
+                counts[hit] += 1
+        counts[-2:] = n, total
+        some = np.flatnonzero(counts)
+        if len(some):
+            yield _batch((some, counts[some]), schema)
+
+    got = {r.i: r.n for r in rows.select("w").mapInArrow(run, "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).collect()}
+    n, total = got.get(len(wanted), 0), got.get(len(wanted) + 1, 0)
+    return n, max(1.0, total / n) if n else 1.0, {t: got[i] for i, t in enumerate(wanted) if i in got}
+
+
+def _bm25_block(rows: DataFrame, key: str, block: list, k: int, q_kind: str) -> DataFrame:
+    n, mean, df = _census(rows, sorted({t for _, ts in block for t in ts}))
+    qids = np.array([q for q, _ in block])
+    holders: dict[str, list[int]] = {}
     for j, (_, ts) in enumerate(block):
-        member[[place[t] for t, _ in ts], j] = 1.0
-    sent = spark.sparkContext.broadcast((np.array([q for q, _ in block]), place, idf, member))
-    ddl = f"q {q_kind}, `{key}` {dict(tokens.dtypes)[key]}, puntaje double"
+        for t in ts:
+            if t in df:
+                holders.setdefault(t, []).append(j)
+    sent = rows.sparkSession.sparkContext.broadcast((qids, {t: (np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)), np.array(js, np.int32)) for t, js in holders.items()}))
+    ddl = f"q {q_kind}, `{key}` {dict(rows.dtypes)[key]}, puntaje double"
     schema = _schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, at, weight, m = sent.value
+        qids, index = sent.value
         if not len(qids):
             return
+        # so many texts at a time that their scores take 32 MB at most
+        step = max(1, min(512, (4 << 20) // len(qids)))
         for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
+            for start in range(0, whole.num_rows, step):
+                batch = whole.slice(start, step)
                 keys = np.array(batch.column(0).to_pylist())
-                f = np.zeros((len(keys), len(weight)))
+                scores = np.zeros((len(keys), len(qids)))
                 for i, words in enumerate(batch.column(1).to_pylist()):
                     norm = K1 * (1 - B + B * len(words) / mean)
-                    for t, c in Counter(map(at.get, words)).items():
-                        if t is not None:
-                            f[i, t] = c * (K1 + 1) / (c + norm)
-                scores = np.round((f * weight) @ m, 6)
+                    for t, c in Counter(words).items():
+                        if t in index:
+                            idf, js = index[t]
+                            scores[i, js] += idf * c * (K1 + 1) / (c + norm)
+                scores = np.round(scores, 6)
                 order = np.lexsort((np.broadcast_to(keys[:, None], scores.shape), -scores), axis=0)[:k]
                 best = np.take_along_axis(scores, order, 0).ravel()
                 q = np.broadcast_to(qids[None, :], order.shape).ravel()
                 some = best > 0
                 yield _batch((q[some], keys[order].ravel()[some], best[some]), schema)
 
-    return tokens.mapInArrow(run, ddl)
+    return rows.mapInArrow(run, ddl)
 
 
 def top(scores: DataFrame, q: str, key: str, score: str, k: int) -> DataFrame:
@@ -106,46 +132,102 @@ def top(scores: DataFrame, q: str, key: str, score: str, k: int) -> DataFrame:
     return scores.withColumn("rango", F.row_number().over(w)).where(F.col("rango") <= k)
 
 
-def dense_top(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int) -> DataFrame:
+def dense_top(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int, group: str | None = None, probes: str | None = None) -> DataFrame:
     """(q, key, puntaje, rango): exact inner-product search of a query set (key, vector) against all rows.
 
-    Blocks of queries are sent to the rows: each partition multiplies matrices and keeps its k best, so what is
-    shuffled is k rows per query and partition.  Null vectors and vectors of another dimension are left out.
+    Blocks of queries of bounded size are sent to the rows: each partition multiplies matrices and keeps its k best, so what
+    is shuffled is k rows per query and batch.  With ``group`` a query sees the rows of its own group only; with ``probes``
+    (an array column of the queries) those of the groups that it lists.  Rows never move by group, so a hot one is no
+    hot key.  Null vectors and vectors of another dimension are left out.
     """
-    spark = vectors.sparkSession
     kind = dict(vectors.dtypes)[key]
-    blocks, found = [], []
-    for row in queries.select(key, vector).where(F.col(vector).isNotNull()).toLocalIterator():
-        blocks.append((row[0], row[1]))
-        if len(blocks) == QUERY_BLOCK:
-            found.append(_dense_block(spark, vectors, key, vector, kind, blocks, k))
-            blocks = []
-    if blocks or not found:
-        found.append(_dense_block(spark, vectors, key, vector, kind, blocks, k))
+    extra = [F.col(probes) if probes else F.array(group)] if group else []
+    block, size, found = [], 0, []
+    for row in queries.select(key, vector, *extra).where(F.col(vector).isNotNull()).toLocalIterator():
+        block.append(tuple(row))
+        size += 8 * len(row[1])
+        if size >= QUERY_BYTES:
+            found.append(_dense_block(vectors, key, vector, kind, block, k, group))
+            block, size = [], 0
+    if block or not found:
+        found.append(_dense_block(vectors, key, vector, kind, block, k, group))
     return top(reduce(DataFrame.unionByName, found), "q", key, "puntaje", k)
 
 
-def _dense_block(spark, vectors: DataFrame, key: str, vector: str, kind: str, block: list, k: int) -> DataFrame:
-    ids = np.array([i for i, _ in block])
-    sent = spark.sparkContext.broadcast((ids, np.array([v for _, v in block], float)))
+def _dense_block(vectors: DataFrame, key: str, vector: str, kind: str, block: list, k: int, group: str | None) -> DataFrame:
+    members: dict = {}
+    for j, row in enumerate(block):
+        for g in row[2] if group else (None,):
+            members.setdefault(g, []).append(j)
+    sent = vectors.sparkSession.sparkContext.broadcast((np.array([r[0] for r in block]), np.array([r[1] for r in block], float), members))
     ddl = f"q {kind}, `{key}` {kind}, puntaje double"
     schema = _schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, m = sent.value
+        qids, m, members = sent.value
         if not len(qids):
             return
         for batch in batches:
-            pairs = [(i, v) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if v is not None and len(v) == m.shape[1]]
-            if not pairs:
-                continue
-            keys = np.array([i for i, _ in pairs])
-            scores = np.round(np.array([v for _, v in pairs], float) @ m.T, 6)
-            order = np.lexsort((np.broadcast_to(keys[:, None], scores.shape), -scores), axis=0)[:k]
-            q = np.broadcast_to(qids[None, :], order.shape).ravel()
-            yield _batch((q, keys[order].ravel(), np.take_along_axis(scores, order, 0).ravel()), schema)
+            groups = batch.column(2).to_pylist() if group else [None] * batch.num_rows
+            by: dict = {}
+            for i, v, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), groups):
+                if v is not None and len(v) == m.shape[1] and g in members:
+                    by.setdefault(g, []).append((i, v))
+            for g, pairs in by.items():
+                js = members[g]
+                keys = np.array([i for i, _ in pairs])
+                scores = np.round(np.array([v for _, v in pairs], float) @ m[js].T, 6)
+                order = np.lexsort((np.broadcast_to(keys[:, None], scores.shape), -scores), axis=0)[:k]
+                q = np.broadcast_to(qids[js][None, :], order.shape).ravel()
+                yield _batch((q, keys[order].ravel(), np.take_along_axis(scores, order, 0).ravel()), schema)
+
+    return vectors.select(key, vector, *([group] if group else [])).mapInArrow(run, ddl)
+
+
+def fit_cells(vectors: DataFrame, key: str, vector: str, cells: int, seed: int = 5) -> np.ndarray:
+    """Centroids of a coarse quantizer: k-means on the FIT_VECTORS vectors of smallest key hash, a bounded sample."""
+    rows = vectors.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(key)).limit(FIT_VECTORS).select(vector).collect()
+    x = np.array([r[0] for r in rows], float)
+    if not len(x):
+        return np.zeros((0, 0))
+    rng = np.random.default_rng(seed)
+    c = x[rng.choice(len(x), min(cells, len(x)), replace=False)]
+    for _ in range(12):
+        near = (x @ c.T - 0.5 * (c * c).sum(1)).argmax(1)
+        c = np.array([x[near == j].mean(0) if (near == j).any() else c[j] for j in range(len(c))])
+    return c
+
+
+def with_cells(vectors: DataFrame, key: str, vector: str, centroids: np.ndarray, n: int = 1) -> DataFrame:
+    """(key, vector, celda): each vector with its n nearest cells, the nearest alone (an int) if n is 1."""
+    sent = vectors.sparkSession.sparkContext.broadcast(centroids)
+    ddl = f"`{key}` {dict(vectors.dtypes)[key]}, `{vector}` array<float>, celda {'int' if n == 1 else 'array<int>'}"
+    schema = _schema(ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = sent.value
+        for batch in batches:
+            pairs = [(i, v) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if v is not None and c.size and len(v) == c.shape[1]]
+            if pairs:
+                near = np.argsort(-(np.array([v for _, v in pairs]) @ c.T - 0.5 * (c * c).sum(1)), 1)[:, :n]
+                cells = near[:, 0].tolist() if n == 1 else near.tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([i for i, _ in pairs], [v for _, v in pairs], cells), schema)], schema=schema)
+
+    return vectors.select(key, F.col(vector).cast("array<float>").alias(vector)).mapInArrow(run, ddl)
 
-    return vectors.select(key, vector).mapInArrow(run, ddl)
+
+def ivf_top(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int, cells: int = 64, probes: int = 16) -> DataFrame:
+    """As dense_top over the rows of each query's nearest cells: an inverted-file index of all rows."""
+    centroids = fit_cells(vectors, key, vector, cells)
+    index = with_cells(vectors, key, vector, centroids)
+    asked = with_cells(queries, key, vector, centroids, max(2, min(probes, len(centroids)))).withColumnRenamed("celda", "celdas")
+    return dense_top(index, key, vector, asked, k, "celda", "celdas")
+
+
+def neighbour_overlap(exact: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """(q, recall): the share of a query's exact neighbours that another ranking holds."""
+    hit = exact.join(found.select("q", key).withColumn("_h", F.lit(1)), ["q", key], "left")
+    return hit.groupBy("q").agg(F.round(F.count("_h") / F.count(F.lit(1)), 6).alias("recall"))
 
 
 def fuse(rankings: list[DataFrame], key: str, k: int, constant: int = RRF) -> DataFrame:
@@ -160,6 +242,24 @@ def first_of_parent(ranking: DataFrame, parent: str, keep: int) -> DataFrame:
     return best.withColumn("rango", F.row_number().over(Window.partitionBy("q").orderBy("rango"))).where(F.col("rango") <= keep)
 
 
+def fuse_parents(rankings: list[DataFrame], key: str, parent: str, k: int, keep: int = 100) -> DataFrame:
+    """(q, parent, key, puntaje, rango): fusion at parent level.
+
+    Each ranking (q, key, parent, rango), the preferred one first, becomes one of distinct parents with ranks counted anew;
+    those are fused, and a parent is shown by its best row of the first ranking that has it.
+    """
+    firsts = [first_of_parent(r.select("q", key, parent, "rango"), parent, max(keep, k)).withColumn("_l", F.lit(i)) for i, r in enumerate(rankings)]
+    whole = reduce(DataFrame.unionByName, firsts)
+    scored = whole.groupBy("q", parent).agg(F.round(F.sum(1.0 / (RRF + F.col("rango"))), 9).alias("puntaje"), F.min_by(key, F.struct("_l", "rango")).alias(key))
+    return top(scored, "q", parent, "puntaje", k)
+
+
+def reranked(ranking: DataFrame, key: str, score: Column, k: int, stable: bool) -> DataFrame:
+    """A ranking ordered anew by a pair's score: ties by key, or, if stable, by the former rank."""
+    w = Window.partitionBy("q").orderBy(F.desc("_s"), "rango" if stable else key)
+    return ranking.withColumn("_s", score).withColumn("nuevo", F.row_number().over(w)).where(F.col("nuevo") <= k).withColumn("rango", F.col("nuevo")).drop("_s", "nuevo")
+
+
 def pack(items: Column, cost: str, budget: int) -> Column:
     """Greedy packing of an ordered array of structs: one that doesn't fit is skipped, later ones may fit."""
     empty = F.struct(F.lit(0).cast("bigint").alias("usado"), F.array().cast("array<bigint>").alias("quedan"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_documents, q_relational, q_text
+from . import q_audit, q_citations, q_documents, q_relational, q_scalars, q_segment, q_sets, q_sources, q_text
 
-QUERIES: dict = {**q_relational.QUERIES, **q_text.QUERIES, **q_documents.QUERIES}
-SQL: dict[str, str] = {**q_relational.SQL, **q_text.SQL, **q_documents.SQL}
+MODULES = (q_relational, q_sets, q_scalars, q_text, q_segment, q_citations, q_documents, q_audit, q_sources)
+QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+SQL: dict[str, str] = {k: v for m in MODULES for k, v in m.SQL.items()}
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

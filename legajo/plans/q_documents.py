@@ -9,22 +9,12 @@ from ..operators import answers as A
 from ..operators import documents as D
 from ..sources.tables import read
 from ..streaming import incremental as I
-from .q_text import _BM25, _bm25, _cites
+from ..sources.shared import shared_folder
+from ..operators import probes as P
+from .q_text import _BM25, _DENSE_DOCS, _PARENTS, _parents
+from .registry import registry
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function under its name, with the SQL it is checked against."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registry()
 
 
 @query("SELECT n_nationkey, '| clave | nombre |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || n_nationkey || ' | ' || n_name || ' |' || chr(10) || 'Región ' || n_regionkey AS texto FROM nation")
@@ -34,14 +24,6 @@ def q43_html_flatten(s: SparkSession, d: str) -> DataFrame:
     return D.converted(read(s, d, "nation").select("n_nationkey", page.alias("html")), "n_nationkey", "html", "html").select("n_nationkey", "texto")
 
 
-@query("SELECT doc_id, i::INT AS pagina, (1 + (i - 1) * 41 - 1)::INT AS inicio FROM documents, range(1, 5) r(i) WHERE length(text) >= 160")
-def q83_paged_text(s: SparkSession, d: str) -> DataFrame:
-    """Texts of four pages of forty characters, separated by form feeds."""
-    page = lambda i: F.regexp_replace(F.substring("text", 40 * i + 1, 40), "\f", " ")
-    rows = read(s, d, "documents").where("length(text) >= 160").select("doc_id", F.concat_ws("\f", *[page(i) for i in range(4)]).alias("t"), F.lit(4).alias("esperadas"))
-    return D.pages(rows, "doc_id", F.col("t"), "esperadas").select("doc_id", "pagina", "inicio")
-
-
 @query("WITH t AS (SELECT doc_id, string_split(array_to_string(list_transform(range(0, greatest(1, ceil(length(text) / 40.0)::BIGINT)), lambda k: substring(text, 40 * k + 1, 40)), chr(12)), chr(12)) AS p FROM documents WHERE text IS NOT NULL) SELECT doc_id, i::INT AS pagina, coalesce(list_sum(list_transform(p[1 : i - 1], lambda x: length(x) + 1)), 0)::INT AS inicio FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM t)")
 def q83_paged_text_all(s: SparkSession, d: str) -> DataFrame:
     """Every text to its end with a form feed after each forty characters; form feeds that the text holds end pages too."""
@@ -52,29 +34,33 @@ def q83_paged_text_all(s: SparkSession, d: str) -> DataFrame:
     return D.pages(rows, "doc_id", F.col("t"), "esperadas").select("doc_id", "pagina", "inicio")
 
 
-@query("WITH o AS (SELECT norma_id, doc_id, text FROM documents WHERE norma_id IS NOT NULL AND text IS NOT NULL) SELECT norma_id, (sum(length(text)) + 2 * (count(*) - 1))::BIGINT AS largo, count(*) AS partes FROM o GROUP BY 1")
+@query("WITH o AS (SELECT norma_id, doc_id, length(text) AS n FROM documents WHERE norma_id IS NOT NULL AND text IS NOT NULL) SELECT norma_id, doc_id, inicio, inicio + n AS fin FROM (SELECT *, coalesce(sum(n + 2) OVER (PARTITION BY norma_id ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS inicio FROM o)")
 def q84_document_assembly(s: SparkSession, d: str) -> DataFrame:
-    got = D.assembled(read(s, d, "documents").where("norma_id IS NOT NULL AND text IS NOT NULL"), "norma_id", "doc_id", "text")
-    return got.select("norma_id", F.length("texto").cast("bigint").alias("largo"), F.size("partes").cast("bigint").alias("partes"))
+    """Where each text stands in its norm's whole text, parts being set off by a blank line."""
+    return D.placed(read(s, d, "documents").where("norma_id IS NOT NULL AND text IS NOT NULL"), "norma_id", "doc_id", "text").select("norma_id", "doc_id", "inicio", "fin")
+
 
+@query("SELECT norma_id, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS texto FROM documents WHERE norma_id <> 'decreto_4999_2015' AND text IS NOT NULL GROUP BY 1 HAVING sum(length(text) + 2) <= 20000")
+def q84_assembled_texts(s: SparkSession, d: str) -> DataFrame:
+    """The whole texts of norms that stay within 20,000 characters; longer ones are left as placed parts."""
+    return D.assembled(read(s, d, "documents").where("norma_id <> 'decreto_4999_2015' AND text IS NOT NULL"), "norma_id", "doc_id", "text", 20000)
 
-@query(_BM25 + ", x AS (SELECT q, doc_id, norma_id, text, rango FROM bm JOIN documents USING (doc_id) WHERE rango <= 20 AND norma_id IS NOT NULL), y AS (SELECT *, row_number() OVER (PARTITION BY q, norma_id ORDER BY rango) AS k FROM x), z AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY rango) AS orden FROM y WHERE k = 1) SELECT q, orden, doc_id AS id, CASE WHEN length(text) <= 2400 THEN length(text) ELSE 1500 END AS largo FROM z WHERE orden <= 10")
+
+@query(_BM25 + _DENSE_DOCS + _PARENTS + ", z AS (SELECT q, rango AS orden, doc_id AS id, norma_id FROM pr WHERE rango <= 10), u AS (SELECT norma_id, sum(length(text) + 2) - 2 AS n FROM documents WHERE norma_id IS NOT NULL AND text IS NOT NULL GROUP BY 1) SELECT q::INT AS q, orden, id, CASE WHEN u.n <= 2400 THEN u.n ELSE length(d.text) END::BIGINT AS largo FROM z JOIN documents d ON d.doc_id = z.id LEFT JOIN u ON u.norma_id = z.norma_id")
 def q53_passage_dedupe(s: SparkSession, d: str) -> DataFrame:
-    units = read(s, d, "documents").where("norma_id IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("norma_id").alias("unidad"), F.col("text").alias("texto"))
-    got = A.passages(_bm25(s, d, 20).select("q", F.col("doc_id").alias("id"), "rango"), units)
+    """Ten passages for each question, one a norm: the norm's whole text if it is short, else the text that hit."""
+    docs = read(s, d, "documents").where("norma_id IS NOT NULL")
+    windows = docs.select(F.col("doc_id").alias("id"), F.col("norma_id").alias("unidad"), F.col("text").alias("texto"))
+    units = D.assembled(docs.where("text IS NOT NULL"), "norma_id", "doc_id", "text", 2400).select(F.col("norma_id").alias("unidad"), "texto")
+    got = A.window_passages(_parents(s, d, 10).select("q", F.col("doc_id").alias("id"), "rango"), windows, units)
     return got.select("q", F.col("orden").cast("bigint").alias("orden"), "id", F.length("texto").cast("bigint").alias("largo"))
 
 
-@query("WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM documents), q AS (SELECT id, regexp_extract_all(lower(pregunta), '[\\p{L}\\p{N}_]+') AS w FROM preguntas), a AS (SELECT DISTINCT id, array_to_string(w[i : i + 23], ' ') AS g FROM q, range(1, 200) r(i) WHERE i + 23 <= len(w)), b AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 23], ' ') AS g FROM w, range(1, 3000) r(i) WHERE i + 23 <= len(w)) SELECT DISTINCT doc_id, id FROM a JOIN b USING (g)")
+@query("WITH i AS (SELECT id, pregunta AS t FROM preguntas UNION SELECT id, respuesta_esperada FROM clave_oro), w AS (SELECT doc_id, regexp_extract_all(lower(replace(text, 'İ', 'I')), '[\\p{L}\\p{N}_]+') AS w FROM documents WHERE text IS NOT NULL), q AS (SELECT id, regexp_extract_all(lower(replace(t, 'İ', 'I')), '[\\p{L}\\p{N}_]+') AS w FROM i WHERE t IS NOT NULL), a AS (SELECT DISTINCT id, array_to_string(w[i : i + 23], ' ') AS g FROM (SELECT id, w, unnest(range(1, greatest(1, len(w) - 22))) AS i FROM q)), b AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 23], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 22))) AS i FROM w)) SELECT DISTINCT doc_id, id FROM a JOIN b USING (g)")
 def q55_leakage_shingles(s: SparkSession, d: str) -> DataFrame:
-    """Documents that hold 24 consecutive words of a question: shingle hashes joined, the few hits compared word by word."""
-    def shingles(df: DataFrame, key: str, text: str) -> DataFrame:
-        w = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-        grams = F.transform(F.sequence(F.lit(1), F.size("w") - 23), lambda i: F.array_join(F.slice("w", i, 24), " "))
-        return df.select(key, w.alias("w")).where("size(w) >= 24").select(key, F.explode(F.array_distinct(grams)).alias("g"))
-
-    items = shingles(read(s, d, "preguntas"), "id", "pregunta")
-    return shingles(read(s, d, "documents"), "doc_id", "text").join(items, "g").select("doc_id", "id").distinct()
+    """Documents that hold 24 consecutive words of a question or an expected answer: hashes held against in place, hits compared."""
+    items = read(s, d, "preguntas").select("id", F.col("pregunta").alias("t")).union(read(s, d, "clave_oro").select("id", "respuesta_esperada"))
+    return P.leaks(read(s, d, "documents"), "doc_id", "text", items, "id", "t").select("doc_id", "id")
 
 
 @query("WITH s AS (SELECT id, CASE WHEN id % 7 = 0 THEN 'open_ended' ELSE formato END AS formato, CASE WHEN id % 3 = 0 THEN 'Z' ELSE 'A' END AS respuesta, id % 5 <> 0 AS con FROM preguntas WHERE id % 11 <> 0 UNION ALL SELECT id, formato, 'A', true FROM preguntas WHERE id % 50 = 0 AND id % 11 <> 0 UNION ALL SELECT 100000, 'semi_open', 'x', true), n AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM s), j AS (SELECT n.*, q.id AS qid, q.formato AS qf FROM n FULL JOIN preguntas q ON n.id = q.id) SELECT DISTINCT coalesce(id, qid) AS id, unnest(list_filter([CASE WHEN id IS NOT NULL AND qid IS NULL THEN 'desconocido' END, CASE WHEN id IS NULL THEN 'faltante' END, CASE WHEN n > 1 THEN 'repetido' END, CASE WHEN id IS NOT NULL AND qid IS NOT NULL AND formato IS DISTINCT FROM qf THEN 'formato' END, CASE WHEN id IS NOT NULL AND NOT con THEN 'sin_pasajes' END, CASE WHEN formato = 'multiple_choice' AND respuesta NOT IN ('A', 'B', 'C', 'D') THEN 'respuesta' END], lambda x: x IS NOT NULL)) AS problema FROM j")
@@ -87,11 +73,13 @@ def q85_submission_problems(s: SparkSession, d: str) -> DataFrame:
     return A.problems(base.unionByName(again).unionByName(other), q.select("id", "formato"))
 
 
-@query("SELECT event_id, props IS NOT NULL AS valido FROM events")
+@query("SELECT event_id, props AS json, left(props, length(props) // 2) AS inicio FROM events WHERE props IS NOT NULL AND json_valid(props) AND starts_with(props, '{')")
 def q86_json_repair(s: SparkSession, d: str) -> DataFrame:
-    """Properties cut off before their end, closed again: all parse."""
-    cut = read(s, d, "events").select("event_id", F.when(F.length("props") > 2, F.expr("left(props, length(props) - 1)")).otherwise(F.col("props")).alias("p"))
-    return A.repaired_json(cut, "event_id", "p").select("event_id", F.try_parse_json("json").isNotNull().alias("valido"))
+    """Properties that lack their last bracket, closed again to what they were; those cut in half parse."""
+    e = read(s, d, "events").where("props IS NOT NULL AND startswith(props, '{')").where(F.try_parse_json("props").isNotNull())
+    whole = A.repaired_json(e.select("event_id", F.expr("left(props, length(props) - 1)").alias("p")), "event_id", "p")
+    half = A.repaired_json(e.select("event_id", F.expr("left(props, cast(floor(length(props) / 2) as int))").alias("p")), "event_id", "p").where(F.try_parse_json("json").isNotNull())
+    return whole.join(half.select("event_id"), "event_id", "left_semi").join(e.select("event_id", F.expr("left(props, cast(floor(length(props) / 2) as int))").alias("inicio")), "event_id")
 
 
 @query("SELECT CAST(to_timestamp(floor(epoch(ts) / 600) * 600) AT TIME ZONE 'UTC' AS TIMESTAMP) AS desde, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -133,11 +121,9 @@ def q92_weighted_coverage(s: SparkSession, d: str) -> DataFrame:
 @query("SELECT seccion, count(*) AS n FROM hallazgos WHERE doc_id <> '' GROUP BY 1")
 def q93_incremental_ingest(s: SparkSession, d: str) -> DataFrame:
     """New files only: the documents are ingested twice through a stream; the second call finds nothing new."""
-    import tempfile
     import uuid
 
-    shared = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="legajo-")
-    base = f"{shared}/ingesta-{uuid.uuid4().hex}"
+    base = f"{shared_folder(s)}/ingesta-{uuid.uuid4().hex}"
     source = read(s, d, "hallazgos")
     source.write.parquet(f"{base}/entrada")
     for _ in range(2):
@@ -151,21 +137,3 @@ def q94_abstention_reasons(s: SparkSession, d: str) -> DataFrame:
     return read(s, d, "clave_oro").select("id", A.abstention(i % 8 != 0, i % 9 == 0, F.when(i % 5 == 0, 1).otherwise(0)).alias("motivo"))
 
 
-@query()
-def q65_citation_index(s: SparkSession, d: str) -> DataFrame:
-    """The citation index of the expected answers held against their legal basis: hits, unbacked rate and points."""
-    from ..operators import citations as C
-
-    k = read(s, d, "clave_oro").select(C.bodies(F.col("respuesta_esperada")).alias("a"), C.bodies(F.col("legal_basis")).alias("b")).where("size(b) > 0")
-    hit, ref, out = F.sum(F.size(F.array_intersect("a", "b"))), F.sum(F.size("b")), F.sum(F.size(F.array_except("a", "b")))
-    rate = F.coalesce(F.try_divide(out.cast("double"), F.sum(F.size("a")).cast("double")), F.lit(0.0))
-    return k.agg(F.count(F.lit(1)).alias("items"), hit.alias("aciertos"), ref.alias("referencias"), F.round(F.greatest(F.lit(0.0), F.try_divide(hit.cast("double"), ref.cast("double")) - 2 * rate) * 20, 6).alias("puntos"))
-
-
-@query()
-def q95_citation_top_norms(s: SparkSession, d: str) -> DataFrame:
-    """Norms by citing documents with the first five of them."""
-    from ..operators import citations as C
-
-    return C.graph(_cites(s, d), "doc_id", "clave", "clave")
-

@@ -6,23 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import ordered as O
 from ..operators import relational as R
 from ..sources.tables import read
+from .registry import registry
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function under its name, with the SQL it is checked against."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registry()
 
 
 _MANIFEST = ("doc_id", "titulo", "numero", "organo_emisor", "fuente", "nivel", "vigencia_fuente")
@@ -182,16 +171,36 @@ def q23_set_algebra(s: SparkSession, d: str) -> DataFrame:
     return o.where("size(a) > 0 AND size(b) > 0").select("l_orderkey", F.size(F.array_intersect("a", "b")).cast("bigint").alias("comunes"), F.size(F.array_except("a", "b")).cast("bigint").alias("solo_a"))
 
 
-@query("SELECT id, doc_id, inicio, coalesce(lead(inicio) OVER (PARTITION BY doc_id ORDER BY inicio, id), fin) AS hasta FROM chunks")
+_BY_DOC = f"(SELECT id, {_SETTLED} AS doc_id, inicio, fin, seccion FROM chunks)"
+
+
+def _by_doc(s: SparkSession, d: str, *columns: str) -> DataFrame:
+    return read(s, d, "chunks").select("id", T.settle_id(F.col("doc_id")).alias("doc_id"), *columns)
+
+
+@query(f"SELECT id, doc_id, inicio, coalesce(lead(inicio) OVER (PARTITION BY doc_id ORDER BY inicio, id), fin) AS hasta FROM {_BY_DOC}")
 def q24_lead_units(s: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("doc_id").orderBy("inicio", "id")
-    return read(s, d, "chunks").select("id", "doc_id", "inicio", F.coalesce(F.lead("inicio").over(w), F.col("fin")).alias("hasta"))
+    """Each fragment's end: where the document's next one begins, or its own."""
+    return O.next_value(_by_doc(s, d, "inicio", "fin"), "doc_id", ["inicio", "id"], "inicio", "sig").select("id", "doc_id", "inicio", F.coalesce("sig", "fin").alias("hasta"))
 
 
-@query("SELECT id, last_value(nullif(seccion, '') IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY id ROWS UNBOUNDED PRECEDING) AS vigente FROM chunks")
+@query(f"SELECT id, last_value(nullif(seccion, '') IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY id ROWS UNBOUNDED PRECEDING) AS vigente FROM {_BY_DOC}")
 def q25_forward_fill(s: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("doc_id").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    return read(s, d, "chunks").select("id", F.last(F.nullif(F.col("seccion"), F.lit("")), ignorenulls=True).over(w).alias("vigente"))
+    """The section in force at each fragment of a document."""
+    return O.forward_filled(_by_doc(s, d, "seccion"), "doc_id", ["id"], F.nullif(F.col("seccion"), F.lit("")), "vigente").select("id", "vigente")
+
+
+@query(f"WITH x AS (SELECT doc_id, id, inicio, max(fin) OVER (PARTITION BY doc_id ORDER BY inicio, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hasta FROM {_BY_DOC}) SELECT doc_id, id, hasta AS desde, inicio AS hueco FROM x WHERE inicio > hasta")
+def q28_running_coverage(s: SparkSession, d: str) -> DataFrame:
+    """Gaps that no earlier fragment of the document covers."""
+    got = O.previous_max(_by_doc(s, d, "inicio", "fin"), "doc_id", ["inicio", "id"], "fin", "desde")
+    return got.where("inicio > desde").select("doc_id", "id", "desde", F.col("inicio").alias("hueco"))
+
+
+@query("SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turno FROM documents")
+def q29_round_robin(s: SparkSession, d: str) -> DataFrame:
+    """The turn of each document in its source's queue."""
+    return O.numbered(read(s, d, "documents").select("doc_id", "source"), "source", ["doc_id"], "turno").select("doc_id", "source", "turno")
 
 
 @query("WITH x AS (SELECT DISTINCT tipo, anio FROM manifiesto WHERE anio IS NOT NULL), y AS (SELECT *, lead(anio) OVER (PARTITION BY tipo ORDER BY anio) AS s FROM x) SELECT tipo, anio + 1 AS desde, s - 1 AS hasta FROM y WHERE s > anio + 1")
@@ -204,17 +213,6 @@ def q27_islands(s: SparkSession, d: str) -> DataFrame:
     return R.islands(read(s, d, "events").select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"], F.col("event_type")).groupBy("user_id", "isla").agg(F.first("event_type").alias("event_type"), F.count(F.lit(1)).alias("n"))
 
 
-@query("WITH x AS (SELECT doc_id, id, inicio, max(fin) OVER (PARTITION BY doc_id ORDER BY inicio, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hasta FROM chunks) SELECT doc_id, id, hasta AS desde, inicio AS hueco FROM x WHERE inicio > hasta")
-def q28_running_coverage(s: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("doc_id").orderBy("inicio", "id").rowsBetween(Window.unboundedPreceding, -1)
-    return read(s, d, "chunks").select("doc_id", "id", "inicio", F.max("fin").over(w).alias("desde")).where("inicio > desde").select("doc_id", "id", "desde", F.col("inicio").alias("hueco"))
-
-
-@query("SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turno FROM documents")
-def q29_round_robin(s: SparkSession, d: str) -> DataFrame:
-    return read(s, d, "documents").select("doc_id", "source", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("bigint").alias("turno"))
-
-
 @query("SELECT tipo, doc_id FROM (SELECT tipo, doc_id, row_number() OVER (PARTITION BY tipo ORDER BY sha256(doc_id::VARCHAR)) AS r FROM documents) WHERE r <= 5")
 def q30_hash_sample(s: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("tipo").orderBy(F.sha2(F.col("doc_id").cast("string"), 256))

@@ -6,30 +6,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import citations as C
 from ..operators import retrieval as S
-from ..operators import segment as G
 from ..sources.tables import read
+from .registry import registry
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+QUERIES, SQL, query = registry()
 
 _W = r"[\p{L}\p{N}_]+"
 _FOLD = r"trim(regexp_replace(translate(lower({}), 'áéíóúüñÁÉÍÓÚÜÑ', 'aeiouunAEIOUUN'), '\s+', ' ', 'g'))"
 
 
-def query(sql: str | None = None):
-    """Registers a function under its name, with the SQL it is checked against."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 @query(f"SELECT doc_id, len(regexp_extract_all(text, '{_W}'))::BIGINT AS palabras, length(text)::BIGINT AS caracteres FROM documents WHERE text IS NOT NULL")
 def q33_tokens_census(s: SparkSession, d: str) -> DataFrame:
     return read(s, d, "documents").where("text IS NOT NULL").select("doc_id", T.word_count(F.col("text")).alias("palabras"), F.length("text").cast("bigint").alias("caracteres"))
@@ -64,62 +50,6 @@ def q38_lines(s: SparkSession, d: str) -> DataFrame:
     return read(s, d, "chunks").where("texto IS NOT NULL").select("id", T.full_lines(F.col("texto")).alias("lineas"))
 
 
-_HEAD = r"^[ \t]*(?:Art[íi]culo|ART[ÍI]CULO|Art\.)[ \t]+[0-9]"
-
-
-@query(f"SELECT id, count(*) AS candidatos FROM (SELECT id, unnest(string_split(texto, chr(10))) AS l FROM chunks) WHERE regexp_matches(l, '{_HEAD}') GROUP BY 1")
-def q39_article_candidates_line(s: SparkSession, d: str) -> DataFrame:
-    return read(s, d, "chunks").select("id", F.explode(F.split("texto", "\n")).alias("l")).where(F.col("l").rlike(_HEAD)).groupBy("id").agg(F.count(F.lit(1)).alias("candidatos"))
-
-
-@query("SELECT doc_id, 0::BIGINT AS inicio, length(text)::BIGINT AS fin, 0::BIGINT AS huecos FROM documents WHERE length(text) > 0")
-def q40_char_windows_invariants(s: SparkSession, d: str) -> DataFrame:
-    got = G.spans(read(s, d, "documents"), "doc_id", "text", "caracteres")
-    w = Window.partitionBy("doc_id").orderBy("n")
-    return got.withColumn("previo", F.lag("fin").over(w)).groupBy("doc_id").agg(F.min("inicio").alias("inicio"), F.max("fin").alias("fin"), F.count_if((F.col("inicio") > F.col("previo")) | (F.col("fin") - F.col("inicio") > 1000)).alias("huecos"))
-
-
-@query(r"WITH w AS (SELECT doc_id, regexp_extract_all(text, '\S+') AS w FROM documents WHERE length(text) > 0) SELECT doc_id, k + 1 AS n, length(array_to_string(w[k * 120 + 1 : k * 120 + 120], ' '))::BIGINT AS letras FROM w, range(0, 200) r(k) WHERE k * 120 < len(w)")
-def q41_word_windows_fixed(s: SparkSession, d: str) -> DataFrame:
-    docs = read(s, d, "documents").where("length(text) > 0").select("doc_id", F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)).alias("w")).where("size(w) > 0")
-    part = F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 120).cast("int")), lambda k: F.struct((k + 1).cast("bigint").alias("n"), F.length(F.array_join(F.slice("w", k * 120 + 1, 120), " ")).cast("bigint").alias("letras"))))
-    return docs.select("doc_id", part.alias("p")).select("doc_id", "p.*")
-
-
-@query()
-def q41_word_windows_overlap(s: SparkSession, d: str) -> DataFrame:
-    return G.spans(read(s, d, "documents"), "doc_id", "text", "fijo_solape")
-
-
-@query()
-def q42_chunk_diagnostics(s: SparkSession, d: str) -> DataFrame:
-    """Coverage, redundancy and clean boundaries of every strategy."""
-    docs = read(s, d, "documents").where("length(text) > 0").select("doc_id", "text")
-    size = docs.select("doc_id", "text", F.length("text").alias("largo"))
-    out = None
-    for name in G.STRATEGIES:
-        got = G.spans(docs, "doc_id", "text", name)
-        w = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-        new = F.greatest(F.lit(0), F.col("fin") - F.greatest("inicio", F.coalesce(F.max("fin").over(w), F.lit(0))))
-        per = got.withColumn("nuevo", new).groupBy("doc_id").agg(F.sum("nuevo").alias("cubierto"), F.sum(F.col("fin") - F.col("inicio")).alias("suma"), F.count(F.lit(1)).alias("piezas"))
-        row = per.join(size, "doc_id").agg(F.lit(name).alias("estrategia"), F.sum("piezas").alias("piezas"), F.round(F.sum("cubierto") / F.sum("largo"), 6).alias("cobertura"), F.round(F.sum("suma") / F.sum("cubierto"), 6).alias("redundancia"))
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
-@query()
-def q43_article_units(s: SparkSession, d: str) -> DataFrame:
-    """Articles, preambles and repetitions of every chunk with the section in force."""
-    return G.units(read(s, d, "chunks"), "id", "texto")
-
-
-@query("SELECT id, 0::BIGINT AS inicio, length(texto)::BIGINT AS fin, 0::BIGINT AS huecos FROM chunks WHERE length(texto) > 0")
-def q44_unit_invariants(s: SparkSession, d: str) -> DataFrame:
-    got = G.units(read(s, d, "chunks"), "id", "texto")
-    w = Window.partitionBy("id").orderBy("orden")
-    return got.withColumn("previo", F.lag("fin").over(w)).groupBy("id").agg(F.min("inicio").alias("inicio"), F.max("fin").alias("fin"), F.count_if(F.col("inicio") != F.col("previo")).alias("huecos"))
-
-
 @query(f"SELECT t, count(DISTINCT doc_id) AS docs, count(*) AS veces FROM (SELECT doc_id, unnest(regexp_extract_all(lower(replace(text, 'İ', 'I')), '{_W}')) AS t FROM documents) GROUP BY 1")
 def q45_postings(s: SparkSession, d: str) -> DataFrame:
     return S.postings(read(s, d, "documents"), "doc_id", "text").groupBy("t").agg(F.count(F.lit(1)).alias("docs"), F.sum("f").alias("veces"))
@@ -160,97 +90,80 @@ def q48_dense_topk(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def q49_neighbor_recall(s: SparkSession, d: str) -> DataFrame:
-    """Share of the exact ten neighbours that random-projection buckets hold; every row is indexed."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    v = read(s, d, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-    if v.isEmpty():
-        return s.createDataFrame([], "q bigint, recall double")
-    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=1.2, numHashTables=24, seed=5).fit(v)
-    q = v.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "q")
-    near = lsh.approxSimilarityJoin(q, v, 2.0, "dist").select(F.col("datasetA.q").alias("q"), F.col("datasetB.vec_id").alias("vec_id"), (-F.col("dist")).alias("puntaje"))
-    ann = S.top(near, "q", "vec_id", "puntaje", 10).groupBy("q").agg(F.collect_set("vec_id").alias("a"))
-    exact = _dense(s, d, 10).groupBy("q").agg(F.collect_set("vec_id").alias("e"))
-    return exact.join(ann, "q", "left").select("q", F.round(F.size(F.array_intersect("e", F.coalesce("a", F.array().cast("array<bigint>")))) / F.size("e"), 6).alias("recall"))
+    """Share of the exact ten neighbours that the inverted-file index finds; every row is indexed."""
+    v = read(s, d, "embeddings").select("vec_id", "embedding")
+    queries = v.where("vec_id % 50 = 0")
+    return S.neighbour_overlap(_dense(s, d, 10), S.ivf_top(v, "vec_id", "embedding", queries, 10, 16, 10), "vec_id")
 
 
 @query(f"WITH p AS ({_DOT}), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY puntaje DESC, vec_id) AS rango FROM p WHERE label = etiqueta) SELECT q, vec_id, rango FROM r WHERE rango <= 5")
 def q50_category_filtered(s: SparkSession, d: str) -> DataFrame:
-    e = read(s, d, "embeddings")
-    queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("x"), "label")
-    dot = F.aggregate(F.zip_with("embedding", "x", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, b: a + b)
-    scored = e.join(F.broadcast(queries), "label").select("q", "vec_id", F.round(dot, 6).alias("puntaje"))
-    return S.top(scored, "q", "vec_id", "puntaje", 5).select("q", "vec_id", F.col("rango").cast("bigint").alias("rango"))
-
+    """Exact search among the rows of the query's own label."""
+    e = read(s, d, "embeddings").select("vec_id", "embedding", "label").where("label IS NOT NULL")
+    return S.dense_top(e, "vec_id", "embedding", e.where("vec_id % 50 = 0"), 5, "label").select("q", "vec_id", F.col("rango").cast("bigint").alias("rango"))
 
-@query(_BM25 + ", otra AS (SELECT q, doc_id, row_number() OVER (PARTITION BY q ORDER BY doc_id) AS rango FROM bm WHERE rango <= 20), u AS (SELECT q, doc_id, rango FROM bm WHERE rango <= 10 UNION ALL SELECT * FROM otra WHERE rango <= 10), f AS (SELECT q, doc_id, round(sum(1.0 / (60 + rango)), 9)::DOUBLE AS puntaje FROM u GROUP BY 1, 2) SELECT q, doc_id, rango FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY puntaje DESC, doc_id) AS rango FROM f) WHERE rango <= 5")
-def q51_rrf(s: SparkSession, d: str) -> DataFrame:
-    base = _bm25(s, d, 20)
-    other = base.withColumn("rango", F.row_number().over(Window.partitionBy("q").orderBy("doc_id"))).where("rango <= 10")
-    return S.fuse([base.where("rango <= 10"), other], "doc_id", 5).select("q", "doc_id", F.col("rango").cast("bigint").alias("rango"))
 
-
-@query(_BM25 + ", x AS (SELECT q, norma_id, rango FROM bm JOIN documents USING (doc_id) WHERE rango <= 20), y AS (SELECT q, norma_id, min(rango) AS mejor FROM x WHERE norma_id IS NOT NULL GROUP BY 1, 2) SELECT q, norma_id, row_number() OVER (PARTITION BY q ORDER BY mejor) AS rango FROM y QUALIFY row_number() OVER (PARTITION BY q ORDER BY mejor) <= 5")
-def q52_rrf_parent(s: SparkSession, d: str) -> DataFrame:
-    ranked = _bm25(s, d, 20).join(read(s, d, "documents").select("doc_id", "norma_id"), "doc_id").where("norma_id IS NOT NULL")
-    return S.first_of_parent(ranked, "norma_id", 5).select("q", "norma_id", F.col("rango").cast("bigint").alias("rango"))
+# A second, independent ranking of the documents: the vector of a document's number, asked with the vector of the question's.
+_DENSE_DOCS = """, dd AS (SELECT a.vec_id AS q, b.vec_id AS doc_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS puntaje FROM embeddings a, embeddings b WHERE a.vec_id IN (SELECT id FROM preguntas)),
+de AS (SELECT q, doc_id, row_number() OVER (PARTITION BY q ORDER BY puntaje DESC, doc_id) AS rango FROM dd)
+"""
 
 
-@query("WITH RECURSIVE o AS (SELECT norma_id, doc_id, length(text)::BIGINT AS c, row_number() OVER (PARTITION BY norma_id ORDER BY doc_id) AS r FROM documents WHERE norma_id IS NOT NULL AND text IS NOT NULL), p AS (SELECT norma_id, r, CASE WHEN c <= 6000 THEN c ELSE 0 END AS usado, (c <= 6000)::INT AS n FROM o WHERE r = 1 UNION ALL SELECT o.norma_id, o.r, CASE WHEN usado + c <= 6000 THEN usado + c ELSE usado END, n + (usado + c <= 6000)::INT FROM p JOIN o ON o.norma_id = p.norma_id AND o.r = p.r + 1 WHERE o.r <= 10) SELECT norma_id, max(usado)::BIGINT AS usado, max(n)::BIGINT AS quedan FROM p GROUP BY 1")
-def q54_pack_context(s: SparkSession, d: str) -> DataFrame:
-    """The first ten documents of each norm packed greedily into 6,000 characters."""
-    docs = read(s, d, "documents").where("norma_id IS NOT NULL AND text IS NOT NULL").select("norma_id", F.col("doc_id").alias("id"), F.length("text").cast("bigint").alias("c")).withColumn("r", F.row_number().over(Window.partitionBy("norma_id").orderBy("id"))).where("r <= 10")
-    packed = docs.groupBy("norma_id").agg(S.pack(F.array_sort(F.collect_list(F.struct("r", "id", "c"))), "c", 6000).alias("p"))
-    return packed.select("norma_id", F.col("p.usado").alias("usado"), F.size("p.quedan").cast("bigint").alias("quedan"))
+def _dense_docs(s: SparkSession, d: str, k: int) -> DataFrame:
+    v = read(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    asked = v.join(read(s, d, "preguntas").select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    return S.dense_top(v, "doc_id", "embedding", asked, k).select(F.col("q").cast("int").alias("q"), "doc_id", "rango")
 
 
-@query("WITH RECURSIVE o AS (SELECT norma_id, doc_id, length(text)::BIGINT AS c, row_number() OVER (PARTITION BY norma_id ORDER BY doc_id) AS r FROM documents WHERE norma_id IS NOT NULL AND text IS NOT NULL), p AS (SELECT norma_id, r, CASE WHEN c <= 6000 THEN c ELSE 0 END AS usado, (c <= 6000)::INT AS n FROM o WHERE r = 1 UNION ALL SELECT o.norma_id, o.r, CASE WHEN usado + c <= 6000 THEN usado + c ELSE usado END, n + (usado + c <= 6000)::INT FROM p JOIN o ON o.norma_id = p.norma_id AND o.r = p.r + 1) SELECT norma_id, max(usado)::BIGINT AS usado, max(n)::BIGINT AS quedan FROM p GROUP BY 1")
-def q54_pack_context_all(s: SparkSession, d: str) -> DataFrame:
-    """All documents of each norm, in order, packed greedily into 6,000 characters."""
-    docs = read(s, d, "documents").where("norma_id IS NOT NULL AND text IS NOT NULL").select("norma_id", "doc_id", F.length("text").cast("bigint").alias("c"))
-    return S.pack_sorted(docs, "norma_id", "doc_id", "c", 6000)
+@query(_BM25 + _DENSE_DOCS + ", u AS (SELECT q, doc_id, rango FROM bm WHERE rango <= 10 UNION ALL SELECT q, doc_id, rango FROM de WHERE rango <= 10), f AS (SELECT q, doc_id, round(sum(1.0 / (60 + rango)), 9)::DOUBLE AS puntaje FROM u GROUP BY 1, 2) SELECT q::INT AS q, doc_id, rango FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY puntaje DESC, doc_id) AS rango FROM f) WHERE rango <= 5")
+def q51_rrf(s: SparkSession, d: str) -> DataFrame:
+    """The lexical and the dense ranking of each question fused by reciprocal ranks."""
+    lists = [_bm25(s, d, 10), _dense_docs(s, d, 10)]
+    return S.fuse(lists, "doc_id", 5).select("q", "doc_id", F.col("rango").cast("bigint").alias("rango"))
 
 
-_BODY = r"(ley|decreto-ley|decreto|resolucion|acuerdo|circular) (\d+) de (\d{4})"
-_JUD = r"(?:sentencia|auto) ((?:su|sl|sc|sp|stc|c|t|a)-?)(\d+)(?: de |-|/)(\d{2,4})"
-_CITES = rf"""WITH t AS (SELECT doc_id, {_FOLD.format("text")} AS f FROM documents),
-n AS (SELECT doc_id, unnest(regexp_extract_all(f, '\b{_BODY}\b')) AS x FROM t), j AS (SELECT doc_id, unnest(regexp_extract_all(f, '\b{_JUD}\b')) AS x FROM t),
-c AS (SELECT DISTINCT doc_id, regexp_replace(replace(x, ' de ', '_'), '[ -]', '_', 'g') AS clave FROM n UNION SELECT doc_id, rtrim(regexp_extract(x, '{_JUD}', 1), '-') || '_' || regexp_extract(x, '{_JUD}', 2) || '_' || CASE WHEN y < 50 THEN 2000 + y WHEN y < 100 THEN 1900 + y ELSE y END FROM (SELECT *, regexp_extract(x, '{_JUD}', 3)::INT AS y FROM j))
+_PARENTS = """, l AS (SELECT 1 AS l, q, doc_id, rango FROM bm WHERE rango <= 20 UNION ALL SELECT 0, q, doc_id, rango FROM de WHERE rango <= 20), lp AS (SELECT l, q, norma_id, doc_id, rango FROM l JOIN documents USING (doc_id) WHERE norma_id IS NOT NULL),
+p1 AS (SELECT * FROM lp QUALIFY row_number() OVER (PARTITION BY l, q, norma_id ORDER BY rango) = 1), p2 AS (SELECT *, row_number() OVER (PARTITION BY l, q ORDER BY rango) AS r FROM p1),
+pf AS (SELECT q, norma_id, round(sum(1.0 / (60 + r)), 9)::DOUBLE AS puntaje, arg_min(doc_id, l) AS doc_id FROM p2 GROUP BY 1, 2),
+pr AS (SELECT q, norma_id, doc_id, row_number() OVER (PARTITION BY q ORDER BY puntaje DESC, norma_id) AS rango FROM pf)
 """
 
 
-def _cites(s: SparkSession, d: str) -> DataFrame:
-    return read(s, d, "documents").select("doc_id", F.explode(C.bodies(F.col("text"))).alias("clave"))
+def _parents(s: SparkSession, d: str, k: int) -> DataFrame:
+    parents = read(s, d, "documents").select("doc_id", "norma_id").where("norma_id IS NOT NULL")
+    return S.fuse_parents([_dense_docs(s, d, 20).join(parents, "doc_id"), _bm25(s, d, 20).select("q", "doc_id", "rango").join(parents, "doc_id")], "doc_id", "norma_id", k)
 
 
-@query(_CITES + "SELECT doc_id, clave FROM c")
-def q58_citation_bodies(s: SparkSession, d: str) -> DataFrame:
-    return _cites(s, d)
+@query(_BM25 + _DENSE_DOCS + _PARENTS + "SELECT q::INT AS q, norma_id, doc_id, rango FROM pr WHERE rango <= 5")
+def q52_rrf_parent(s: SparkSession, d: str) -> DataFrame:
+    """Both rankings reduced to distinct norms before they are fused; a norm is shown by its best text of the dense list, else of the lexical one."""
+    return _parents(s, d, 5).select("q", "norma_id", "doc_id", F.col("rango").cast("bigint").alias("rango"))
 
 
-@query()
-def q59_citation_score(s: SparkSession, d: str) -> DataFrame:
-    """Citations of each expected answer against those of its basis and of the question."""
-    k = read(s, d, "clave_oro").select("id", C.bodies(F.col("respuesta_esperada")).alias("a"), C.bodies(F.col("legal_basis")).alias("b"), C.bodies(F.col("pregunta")).alias("r"))
-    return k.select("id", C.score(F.col("a"), F.col("b"), F.col("r")).alias("s")).select("id", "s.*")
+@query(_BM25 + ", s AS (SELECT q, doc_id, round((doc_id * 7919 + q) % 11, 0) AS p, rango FROM bm WHERE rango <= 10) SELECT q, doc_id, row_number() OVER (PARTITION BY q ORDER BY p DESC, rango) AS estable, row_number() OVER (PARTITION BY q ORDER BY p DESC, doc_id) AS por_id FROM s")
+def q130_reranked(s: SparkSession, d: str) -> DataFrame:
+    """The first ten of each question ordered anew by a given score with ties: by former rank, and by id."""
+    base = _bm25(s, d, 10).select("q", "doc_id", "rango")
+    score = (F.col("doc_id") * 7919 + F.col("q")) % 11
+    stable = S.reranked(base, "doc_id", score, 10, True).select("q", "doc_id", F.col("rango").cast("bigint").alias("estable"))
+    return stable.join(S.reranked(base, "doc_id", score, 10, False).select("q", "doc_id", F.col("rango").cast("bigint").alias("por_id")), ["q", "doc_id"])
 
 
-@query(_CITES + "SELECT clave, count(*) AS documentos, count(*)::BIGINT AS menciones FROM c GROUP BY 1")
-def q60_graph_degree(s: SparkSession, d: str) -> DataFrame:
-    return C.graph(_cites(s, d), "doc_id", "clave", "clave").select("clave", "documentos", "menciones")
+_BM25_FOLDED = _BM25.replace("lower(coalesce(text, ''))", "strip_accents(lower(replace(regexp_replace(coalesce(text, ''), '\\p{M}+', '', 'g'), 'İ', 'i')))").replace("lower(pregunta)", "strip_accents(lower(regexp_replace(pregunta, '\\p{M}+', '', 'g')))")
 
 
-@query(_CITES + "SELECT clave, count(*) AS documentos FROM c WHERE clave NOT IN (SELECT doc_id FROM manifiesto) GROUP BY 1 HAVING count(*) >= 2")
-def q61_graph_open(s: SparkSession, d: str) -> DataFrame:
-    known = read(s, d, "manifiesto").select(F.col("doc_id").alias("clave"))
-    return _cites(s, d).join(known, "clave", "left_anti").groupBy("clave").agg(F.count(F.lit(1)).alias("documentos")).where("documentos >= 2")
+@query(_BM25_FOLDED + "SELECT q, doc_id, rango FROM bm WHERE rango <= 3")
+def q47_bm25_folded(s: SparkSession, d: str) -> DataFrame:
+    """The three best documents for each question, accents disregarded."""
+    docs = read(s, d, "documents").withColumn("text", F.translate("text", "İ", "i"))
+    return S.bm25(docs, "doc_id", "text", read(s, d, "preguntas"), "id", "pregunta", 3, T.folded_tokens).select("q", "doc_id", F.col("rango").cast("bigint").alias("rango"))
 
 
-@query("WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS de, l_partkey % 100 + 1 AS a FROM lineitem WHERE l_quantity = 50), r AS (SELECT 5::BIGINT AS nodo UNION SELECT e.a FROM r JOIN e ON e.de = r.nodo) SELECT nodo FROM r")
-def q62_graph_closure(s: SparkSession, d: str) -> DataFrame:
-    edges = read(s, d, "lineitem").where("l_quantity = 50").select(F.col("l_suppkey").alias("de"), (F.col("l_partkey") % 100 + 1).alias("a")).distinct()
-    return C.closure(edges, s.range(1).select(F.lit(5).cast("bigint").alias("nodo")))
+@query("WITH RECURSIVE o AS (SELECT norma_id, doc_id, length(text)::BIGINT AS c, row_number() OVER (PARTITION BY norma_id ORDER BY doc_id) AS r FROM documents WHERE norma_id IS NOT NULL AND text IS NOT NULL), p AS (SELECT norma_id, r, CASE WHEN c <= 6000 THEN c ELSE 0 END AS usado, (c <= 6000)::INT AS n FROM o WHERE r = 1 UNION ALL SELECT o.norma_id, o.r, CASE WHEN usado + c <= 6000 THEN usado + c ELSE usado END, n + (usado + c <= 6000)::INT FROM p JOIN o ON o.norma_id = p.norma_id AND o.r = p.r + 1) SELECT norma_id, max(usado)::BIGINT AS usado, max(n)::BIGINT AS quedan FROM p GROUP BY 1")
+def q54_pack_context_all(s: SparkSession, d: str) -> DataFrame:
+    """All documents of each norm, in order, packed greedily into 6,000 characters."""
+    docs = read(s, d, "documents").where("norma_id IS NOT NULL AND text IS NOT NULL").select("norma_id", "doc_id", F.length("text").cast("bigint").alias("c"))
+    return S.pack_sorted(docs, "norma_id", "doc_id", "c", 6000)
 
 
 @query("WITH c AS (SELECT doc_id, count(*) FILTER (texto IS NOT NULL AND regexp_replace(texto, '[\\s\\p{Z}]+', '', 'g') <> '') AS n FROM (SELECT regexp_replace(lower(trim(doc_id)), '[\\s\\-_]+', '_', 'g') AS doc_id, texto FROM chunks) GROUP BY 1), m AS (SELECT DISTINCT regexp_replace(lower(trim(doc_id)), '[\\s\\-_]+', '_', 'g') AS doc_id FROM manifiesto) SELECT m.doc_id, CASE WHEN n IS NULL THEN 'ausente' WHEN n = 0 THEN 'sin_texto' WHEN n < 5 THEN 'parcial' ELSE 'cubierto' END AS estado FROM m LEFT JOIN c USING (doc_id)")
@@ -303,40 +216,19 @@ def q69_run_diff(s: SparkSession, d: str) -> DataFrame:
     return p.join(k, F.col("p.id") == F.col("k.id"), "full_outer").select(F.coalesce("p.id", "k.id").alias("id"), (~F.col("p.pregunta").eqNullSafe(F.col("k.pregunta"))).alias("pregunta_cambia"), (~F.col("p.area").eqNullSafe(F.col("k.area"))).alias("area_cambia"))
 
 
-@query("SELECT doc_id, n_chars AS antes, CASE WHEN n_chars <> length(text) THEN length(text) ELSE n_chars END AS despues, coalesce(n_chars <> length(text), false) AS corregido FROM documents")
-def q70_verified_patch(s: SparkSession, d: str) -> DataFrame:
-    n = F.length("text").cast("bigint")
-    return read(s, d, "documents").select("doc_id", F.col("n_chars").alias("antes"), F.when(F.col("n_chars") != n, n).otherwise(F.col("n_chars")).alias("despues"), F.coalesce(F.col("n_chars") != n, F.lit(False)).alias("corregido"))
-
-
-_STATE = {"derogada": r"(?i)(der[óo]gase|derogad[oa]s?)\b", "inexequible": r"(?i)inexequible", "con_notas": r"(?i)\(nota:"}
-
-
-@query("SELECT id, CASE " + " ".join(f"WHEN regexp_matches(texto, '{p}') THEN '{n}'" for n, p in _STATE.items()) + " ELSE 'sin_marca' END AS senal FROM chunks WHERE texto IS NOT NULL")
-def q71_validity_level(s: SparkSession, d: str) -> DataFrame:
-    sign = F.coalesce(*[F.when(F.col("texto").rlike(p), n) for n, p in _STATE.items()], F.lit("sin_marca"))
-    return read(s, d, "chunks").where("texto IS NOT NULL").select("id", sign.alias("senal"))
-
-
-# Areas by keyword, in the order in which they are listed.
-_AREAS = {"laboral": "laboral|trabajador|empleador|pensi", "tributario": "tribut|contribuyente|renta|aduan", "comercial": "sociedad|comerci|fiduciari|marca", "civil": "contrato|inmueble|arrend|acreedor", "familia": "familia|alimentaria|menor de edad|c[óo]nyuge"}
-
-
-@query("SELECT id, coalesce(nullif(array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(texto), '{p}') THEN '{n}' END" for n, p in _AREAS.items()) + "], lambda x: x IS NOT NULL), ', '), ''), 'administrativo') AS areas FROM chunks WHERE texto IS NOT NULL")
-def q72_area_classifier(s: SparkSession, d: str) -> DataFrame:
-    found = F.array_join(F.array_compact(F.array(*[F.when(F.lower("texto").rlike(p), n) for n, p in _AREAS.items()])), ", ")
-    return read(s, d, "chunks").where("texto IS NOT NULL").select("id", F.when(found == "", "administrativo").otherwise(found).alias("areas"))
-
-
 @query("SELECT id, formato, pregunta FROM preguntas WHERE length(trim(pregunta)) > 0")
 def q73_question_projection(s: SparkSession, d: str) -> DataFrame:
     return read(s, d, "preguntas").where(F.length(F.trim("pregunta")) > 0).select("id", "formato", "pregunta")
 
 
-@query("SELECT id, pregunta || chr(10) || coalesce(array_to_string(list_transform(list_sort(map_entries(opciones)), lambda e: e.key || '. ' || e.value), chr(10)), '') AS consulta FROM preguntas WHERE pregunta IS NOT NULL")
+@query("SELECT id, pregunta || chr(10) || coalesce(array_to_string(list_transform(list_sort(map_entries(opciones)), lambda e: e.key || '. ' || e.value), chr(10)), '') AS consulta, trim(pregunta, ' ' || chr(9) || chr(10) || chr(13)) || coalesce(chr(10) || nullif(array_to_string(list_transform(list_sort(map_entries(opciones)), lambda e: e.value), chr(10)), ''), '') AS sin_claves FROM preguntas WHERE pregunta IS NOT NULL")
 def q74_options_query_text(s: SparkSession, d: str) -> DataFrame:
-    options = F.array_join(F.transform(F.array_sort(F.map_entries("opciones")), lambda e: F.concat(e["key"], F.lit(". "), e["value"])), "\n")
-    return read(s, d, "preguntas").where("pregunta IS NOT NULL").select("id", F.concat("pregunta", F.lit("\n"), F.coalesce(options, F.lit(""))).alias("consulta"))
+    """A question with its options: with their keys, and, stripped, without."""
+    entries = F.array_sort(F.map_entries("opciones"))
+    options = F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit(". "), e["value"])), "\n")
+    values = F.nullif(F.array_join(F.transform(entries, lambda e: e["value"]), "\n"), F.lit(""))
+    stripped = F.regexp_replace("pregunta", r"^[ \t\n\r]+|[ \t\n\r]+$", "")
+    return read(s, d, "preguntas").where("pregunta IS NOT NULL").select("id", F.concat("pregunta", F.lit("\n"), F.coalesce(options, F.lit(""))).alias("consulta"), F.concat(stripped, F.coalesce(F.concat(F.lit("\n"), values), F.lit(""))).alias("sin_claves"))
 
 
 @query("SELECT event_id, event_type FROM events WHERE props IS NOT NULL AND json_valid(props)")
@@ -347,7 +239,7 @@ def q75_json_fence_parse(s: SparkSession, d: str) -> DataFrame:
 
 
 _NEAR = f"""WITH w AS (SELECT min(doc_id) AS doc_id, w FROM (SELECT doc_id, regexp_extract_all(lower(text), '{_W}') AS w FROM documents WHERE text IS NOT NULL) WHERE len(w) >= 5 GROUP BY w),
-g AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM w, range(1, 3000) r(i) WHERE i + 4 <= len(w)),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM w, (SELECT unnest(range(1, (SELECT max(len(w)) FROM w) + 1)) AS i) r WHERE i + 4 <= len(w)),
 n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2)
 """
