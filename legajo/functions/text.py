@@ -294,6 +294,24 @@ def softmax_first(a: Column, b: Column) -> Column:
     return 1 / (1 + F.exp(b - a))
 
 
+def once(value: Column, use) -> Column:
+    """use(value) with the value computed a single time however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def holds_any(text: Column, pattern: str) -> Column:
+    """Whether a text matches an alternation; alternatives of plain letters are looked up as such, which costs far less."""
+    import re
+
+    parts = re.split(r"\|(?![^(]*\))", pattern)
+    plain = [p for p in parts if re.fullmatch(r"[a-z ]+", p)]
+    rest = [p for p in parts if p not in plain]
+    out = text.rlike("|".join(rest)) if rest else F.lit(False)
+    for p in plain:
+        out = F.contains(text, F.lit(p)) | out
+    return out
+
+
 # ---- rules on texts ------------------------------------------------------------------------------------------------------
 
 # Areas and the words that name them, in order.
@@ -310,21 +328,20 @@ AREAS = {
     "administrativo": r"administrativ|contratacion (?:estatal|publica)|funcion publica|servidores publicos|municipi|departament|ministerio|presupuest|regalias|contralor|disciplinari|policia|servicios publicos|entidades? territorial|ordenamiento territorial|electoral|salud|educacion|transporte|planeacion|descentralizacion",
 }
 EPIGRAPH_START = r"\bpor (?:medio de )?(?:la|el) cual\b|\bpor la que\b|\bsobre\b|\bmediante (?:la|el) cual\b"
-EPIGRAPH_END = r"\bel congreso de (?:colombia|la republica)\b|\bel presidente de la republica\b|\bdecreta\s*:|\bresumen de notas\b|\bjurisprudencia vigencia\b|\barticulo (?:1|primero|unico)\b"
+EPIGRAPH_END = r"\bel congreso de (?:colombia|la republica)\b|\bel presidente de la republica\b|\bdecreta\s*:|\bresumen de notas\b|\bjurisprudencia vigencia\b|\barticulo (?:1|primero|unico)(?:$|[^\p{L}\p{N}_])"
 
 
 def epigraph(c: Column) -> Column:
     """What a norm says of itself: from its opening formula to its first article or enacting clause, 1,500 characters at most, of the first 8,000."""
     head = F.regexp_replace(fold_loose(F.left(c, F.lit(8000))), r"<[^>]*>", " ")
-    begun = F.regexp_extract(head, rf"(?s)(?:{EPIGRAPH_START}).*$", 0)
-    body = F.when(begun != "", begun).otherwise(head)
+    body = once(head, lambda h: once(F.regexp_extract(h, rf"(?s)(?:{EPIGRAPH_START}).*$", 0), lambda b: F.when(b != "", b).otherwise(h)))
     return F.left(F.regexp_extract(body, rf"(?s)^(.*?)(?:{EPIGRAPH_END}|$)", 1), F.lit(1500))
 
 
 def areas_of(text: Column) -> Column:
     """The areas that an epigraph names, in order; administrative law where none is."""
-    found = F.array_compact(F.array(*[F.when(text.rlike(p), n) for n, p in AREAS.items()]))
-    return F.when(F.size(found) == 0, F.array(F.lit("administrativo"))).otherwise(found)
+    found = once(text, lambda t: F.array_compact(F.array(*[F.when(holds_any(t, p), n) for n, p in AREAS.items()])))
+    return once(found, lambda a: F.when(F.size(a) == 0, F.array(F.lit("administrativo"))).otherwise(a))
 
 
 # How a source marks norms and articles that no longer hold.
@@ -336,13 +353,17 @@ _NOTE = r"<\s*(?:articulo|inciso|numeral|literal|paragrafo)[^>]{0,40}\b(?:modifi
 
 def validity(c: Column) -> Column:
     """What a source's marks say of a norm: repealed or void as a whole (in its heading, or nine in ten of its three articles or more), with notes, or no mark."""
-    head = fold_loose(F.left(c, F.lit(6000)))
-    before = F.regexp_extract(head, r"(?s)^(.*?)\bpor (?:medio de )?(?:la|el) cual\b", 1)
-    heading = F.when(head.rlike(r"\bpor (?:medio de )?(?:la|el) cual\b"), before).otherwise(F.left(head, F.lit(1500)))
-    body = fold_loose(c)
-    articles = F.size(F.array_distinct(F.regexp_extract_all(body, F.lit(r"\barticulo\s+\d+"), F.lit(0))))
-    gone = F.regexp_count(body, F.lit(_ARTICLE_REPEALED))
-    return F.when(heading.rlike(_REPEALED), "derogada").when(heading.rlike(_VOID), "inexequible").when((articles >= 3) & (gone >= 0.9 * articles), "derogada").when(body.rlike(_NOTE), "con_notas").otherwise("sin_marca")
+    def of(body: Column) -> Column:
+        head = F.left(body, F.lit(6000))
+        before = F.regexp_extract(head, r"(?s)^(.*?)\bpor (?:medio de )?(?:la|el) cual\b", 1)
+        heading = F.when(head.rlike(r"\bpor (?:medio de )?(?:la|el) cual\b"), before).otherwise(F.left(head, F.lit(1500)))
+        articles = F.size(F.array_distinct(F.regexp_extract_all(body, F.lit(r"\barticulo\s+\d+"), F.lit(0))))
+        repealed = (articles >= 3) & (F.regexp_count(body, F.lit(_ARTICLE_REPEALED)) >= 0.9 * articles)
+        # every mark is a remark between angle brackets
+        marked = F.when(heading.rlike(_REPEALED), "derogada").when(heading.rlike(_VOID), "inexequible").when(repealed, "derogada").when(body.rlike(_NOTE), "con_notas").otherwise("sin_marca")
+        return F.when(F.contains(body, F.lit("<")), marked).otherwise("sin_marca")
+
+    return once(fold_loose(c), of)
 
 
 def level(scope: Column, state: Column, bulk: Column, cited: Column) -> Column:

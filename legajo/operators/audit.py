@@ -178,7 +178,7 @@ def sorted_findings(findings: DataFrame) -> DataFrame:
 # Why a reference is left out, in order, by what its evidence says.
 EXCLUSIONS = (
     ("cita_errada", r"(?i)\b(?:cita|referencia) (?:errada|equivocada|incorrecta)|\berror de (?:cita|digitaci[oó]n)"), ("proyecto_de_ley", r"(?i)\bproyecto de (?:ley|acto legislativo)\b"), ("compilada", r"(?i)\bcompilad[oa]s?\b"),
-    ("enlace_roto", r"(?i)\b(?:enlace|v[ií]nculo) roto\b|\b404\b"), ("sin_texto_oficial", r"(?i)\bsin texto oficial\b|\bno (?:est[aá]|se encuentra) publicad[oa]"),
+    ("enlace_roto", r"(?i)\b(?:enlace|v[ií]nculo) roto\b|\b404(?:$|[^\p{L}\p{N}_])"), ("sin_texto_oficial", r"(?i)\bsin texto oficial\b|\bno (?:est[aá]|se encuentra) publicad[oa]"),
 )
 
 

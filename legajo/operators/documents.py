@@ -102,10 +102,53 @@ def html_text(page: str) -> str:
     return normalise("".join(p.out))
 
 
+_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+_FALLBACK = "{http://schemas.openxmlformats.org/markup-compatibility/2006}Fallback"
+_INLINE = {_W + "t": None, _W + "tab": "\t", _W + "br": "\n", _W + "cr": "\n", _W + "noBreakHyphen": "-"}
+
+
+def _docx_lines(node: ElementTree.Element, out: list[str]) -> None:
+    """Lines below a node: a paragraph's text, a table row's cells joined by bars; what is an alternative to shown content is left out."""
+    for child in node:
+        if child.tag == _FALLBACK:
+            continue
+        if child.tag == _W + "p":
+            out.append("")
+            _docx_inline(child, out)
+        elif child.tag == _W + "tr":
+            cells = []
+            for cell in child.iter(_W + "tc"):
+                inner: list[str] = []
+                _docx_lines(cell, inner)
+                cells.append(" ".join(" ".join(inner).split()))
+            out.append(" | ".join(cells))
+        else:
+            _docx_lines(child, out)
+
+
+def _docx_inline(node: ElementTree.Element, out: list[str]) -> None:
+    """A paragraph's text onto the last line; paragraphs inside it (text boxes) become lines after it."""
+    own, boxes = len(out) - 1, []
+    for child in node:
+        if child.tag == _FALLBACK:
+            continue
+        if child.tag in _INLINE:
+            out[own] += _INLINE[child.tag] or child.text or ""
+        elif child.tag == _W + "txbxContent":
+            boxes.append(child)
+        else:
+            held = len(out)
+            sub = [""]
+            _docx_inline(child, sub)
+            out[own] += sub[0]
+            out[held:held] = sub[1:]
+    for box in boxes:
+        _docx_lines(box, out)
+
+
 def docx_text(content: bytes) -> str:
-    """Paragraphs, tables and notes of a DOCX; a document type declaration or an oversized part raises."""
-    w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-    out = []
+    """Paragraphs, tables, text boxes and notes of a DOCX; a document type declaration or an oversized part raises."""
+    out: list[str] = []
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         for part in ("word/document.xml", "word/footnotes.xml", "word/endnotes.xml"):
             if part not in z.namelist():
@@ -115,14 +158,49 @@ def docx_text(content: bytes) -> str:
             data = z.read(part)
             if b"<!DOCTYPE" in data:
                 raise ValueError("a document type declaration isn't allowed")
-            for p in ElementTree.fromstring(data).iter(w + "p"):
-                out.append("".join(t.text or "" if t.tag == w + "t" else "\t" if t.tag == w + "tab" else "\n" for t in p.iter() if t.tag in (w + "t", w + "tab", w + "br")))
+            _docx_lines(ElementTree.fromstring(data), out)
     return normalise("\n".join(out))
 
 
+# How a page names its character set.
+_META = re.compile(rb"<meta[^>]+charset\s*=\s*[\"']?\s*([A-Za-z0-9_\-]+)", re.I)
+
+
+def decoded(content: bytes, declared: str | None = None) -> tuple[str, str, int]:
+    """(text, character set, replaced): UTF-8 if the bytes are, else what the page declares, else what the manifest says, else a Latin code page.
+
+    Bytes that the declared set doesn't know are replaced and counted; an unknown name is passed over.
+    """
+    try:
+        return content.decode("utf-8-sig"), "utf-8", 0
+    except UnicodeDecodeError:
+        pass
+    m = _META.search(content[:4096])
+    for name in ((m.group(1).decode("ascii") if m else None), declared):
+        try:
+            if name:
+                text = content.decode(name, "replace")
+                return text, name.lower(), text.count("\ufffd")
+        except LookupError:
+            continue
+    return content.decode("cp1252", "replace"), "cp1252", 0
+
+
+def word_package(content: bytes) -> str:
+    """The texts of the DOCX files of a ZIP in order of name; members whose path leaves the package are refused."""
+    out = []
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        for name in sorted(z.namelist()):
+            if name.startswith(("/", "\\")) or ".." in re.split(r"[\\/]", name):
+                raise ValueError(f"{name} is outside the package")
+            if name.lower().endswith(".docx"):
+                out.append(docx_text(z.read(name)))
+    return "\n\n".join(out)
+
+
 def converted(df: DataFrame, key: str, content: str, kind: str) -> DataFrame:
-    """(key, texto, error): content by reader ('html' of strings, 'docx' of bytes); a failure is a row, not an end."""
-    read = {"html": html_text, "docx": docx_text}[kind]
+    """(key, texto, error): content by reader ('html' of strings, 'pagina' (HTML bytes in any character set), 'docx' and 'paquete' of bytes); a failure is a row, not an end."""
+    read = {"html": html_text, "pagina": lambda c: html_text(decoded(bytes(c))[0]), "docx": lambda c: docx_text(bytes(c)), "paquete": lambda c: word_package(bytes(c))}[kind]
 
     def one(c: object) -> tuple[str | None, str | None]:
         try:

@@ -13,14 +13,13 @@ from pyspark.sql import functions as F
 from ..sources.shared import checkpointed
 
 BLOCK = "_bloque"
+#: A fixed number of blocks; by default the session's shuffle partitions, joined where they are small.
+BLOCKS: int | None = None
 
 
 def blocked(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The rows with the number of the range block that holds them, computed once.
-
-    The number of blocks is the session's shuffle partitions, or fewer for few rows.
-    """
-    return checkpointed(df.repartitionByRange(key, *order).withColumn(BLOCK, F.spark_partition_id()))
+    """The rows with the number of the range block that holds them, computed once."""
+    return checkpointed((df.repartitionByRange(BLOCKS, key, *order) if BLOCKS else df.repartitionByRange(key, *order)).withColumn(BLOCK, F.spark_partition_id()))
 
 
 def _spanning(rows: DataFrame, key: str, summary: Column, name: str) -> DataFrame:

@@ -156,7 +156,7 @@ e AS (SELECT id, left(regexp_extract(h, '(?s)^(.*?)(?:{T.EPIGRAPH_END}|$)', 1),
 @query(_EPI + "SELECT id, CASE WHEN len(x) = 0 THEN 'administrativo' ELSE array_to_string(x, ', ') END AS areas FROM (SELECT id, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(e, '{p}') THEN '{n}' END" for n, p in T.AREAS.items()) + "], lambda y: y IS NOT NULL) AS x FROM e)")
 def q72_area_classifier(s: SparkSession, d: str) -> DataFrame:
     """The areas that each text's epigraph names."""
-    return read(s, d, "chunks").where("texto IS NOT NULL").select("id", F.array_join(T.areas_of(T.epigraph(F.col("texto"))), ", ").alias("areas"))
+    return read(s, d, "chunks").where("texto IS NOT NULL").select("id", T.epigraph(F.col("texto")).alias("e")).select("id", F.array_join(T.areas_of(F.col("e")), ", ").alias("areas"))
 
 
 _BODY = r"regexp_replace(translate(lower(texto), 'áéíóúüñÁÉÍÓÚÜÑ', 'aeiouunAEIOUUN'), '\s+', ' ', 'g')"
@@ -164,7 +164,7 @@ _HEADING = r"CASE WHEN regexp_matches(h, '\bpor (?:medio de )?(?:la|el) cual\b')
 
 
 @query(
-    rf"""WITH a AS (SELECT id, regexp_replace(translate(lower(left(texto, 6000)), 'áéíóúüñÁÉÍÓÚÜÑ', 'aeiouunAEIOUUN'), '\s+', ' ', 'g') AS h, {_BODY} AS b FROM chunks WHERE texto IS NOT NULL),
+    rf"""WITH a AS (SELECT id, left({_BODY}, 6000) AS h, {_BODY} AS b FROM chunks WHERE texto IS NOT NULL),
 c AS (SELECT id, {_HEADING} AS h, b, len(list_distinct(regexp_extract_all(b, '\barticulo\s+\d+'))) AS n, len(regexp_extract_all(b, '{T._ARTICLE_REPEALED}')) AS g FROM a)
 SELECT id, CASE WHEN regexp_matches(h, '{T._REPEALED}') THEN 'derogada' WHEN regexp_matches(h, '{T._VOID}') THEN 'inexequible' WHEN n >= 3 AND g >= 0.9 * n THEN 'derogada' WHEN regexp_matches(b, '{T._NOTE}') THEN 'con_notas' ELSE 'sin_marca' END AS senal FROM c"""
 )

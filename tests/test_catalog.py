@@ -9,7 +9,6 @@ from legajo.functions import text as T
 from legajo.operators import citations as C
 from legajo.operators import relational as R
 from legajo.operators import retrieval as S
-from legajo.operators import segment as G
 from legajo.plans import catalog
 from legajo.sources import tables
 from pyspark.sql import functions as F
@@ -41,12 +40,6 @@ def test_against_sql(spark, name):
     assert sorted(repr(tuple(plain(r[c]) for c in columns)) for r in ours.collect()) == expected
 
 
-@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
-def test_runs(spark, name):
-    assert catalog.QUERIES[name](spark, DATA).count() >= 0
-
-
 def test_ann_recall(spark):
     if not os.path.isdir(DATA):
         pytest.skip("no test tables")
@@ -105,25 +98,6 @@ def test_bm25_numbers(spark):
     assert [r.id for r in got] == [1, 2] and {r.q for r in got} == {1}
 
 
-def test_window_coverage():
-    text = "palabra " * 63
-    spans = G.windows(text[:500], 120, 20)
-    assert spans[0][0] == 0 and spans[-1][1] == 500 and all(b[0] <= a[1] for a, b in zip(spans, spans[1:]))
-
-
-def test_articles():
-    text = "Preámbulo\nArtículo 1. Uno.\nCAPÍTULO II\nArtículo 2. Dos «\nArtículo 9. citado» fin\nArtículo 2. Otra vez"
-    got = G.articles(text)
-    assert [(u[0], u[1], u[2]) for u in got] == [("preambulo", None, None), ("articulo", "1", None), ("articulo", "2", "CAPÍTULO II"), ("repetido", "2", "CAPÍTULO II")]
-    assert "".join(text[a:b] for *_, a, b in got) == text
-
-
-def test_citations(spark):
-    t = "La Ley 80 de 1993 y la sentencia C-207/19, artículo 13 del Decreto 100 de 1980"
-    r = spark.createDataFrame([(t,), (None,)], "t string").select(C.bodies(F.col("t")).alias("b"), C.articles(F.col("t")).alias("a")).collect()
-    assert r[0].b == ["c_207_2019", "decreto_100_1980", "ley_80_1993"] and r[0].a == ["13|decreto_100_1980"] and r[1].b == []
-
-
 def test_islands_and_gaps(spark):
     df = spark.createDataFrame([("a", i, v) for i, v in enumerate([1, 1, None, None, 2])], "g string, i int, v int")
     assert [r.isla for r in R.islands(df, ["g"], ["i"], F.col("v")).orderBy("i").collect()] == [1, 1, 2, 2, 3]
