@@ -219,9 +219,10 @@ def converted(df: DataFrame, key: str, content: str, kind: str) -> DataFrame:
 def pages(df: DataFrame, key: str, text: str, expected: str) -> DataFrame:
     """(key, pagina, inicio, texto) of text whose pages end in form feeds; the page number is null unless their count is the expected one."""
     parts = F.split(text, "\f")
-    starts = F.aggregate(parts, F.array(F.lit(0)), lambda a, p: F.concat(a, F.array(F.element_at(a, -1) + F.length(p) + 1)))
-    rows = df.select(key, expected, parts.alias("p"), starts.alias("s")).select(key, expected, "s", F.size("p").alias("n"), F.posexplode("p").alias("i", "texto"))
-    return rows.select(key, F.when(F.col("n") == F.col(expected), F.col("i") + 1).alias("pagina"), F.element_at("s", F.col("i") + 1).alias("inicio"), "texto")
+    # each form feed's place by one walk over the characters
+    starts = F.concat(F.array(F.lit(0)), F.array_compact(F.transform(F.split(text, ""), lambda c, i: F.when(c == "\f", i + 1))))
+    page = F.explode(F.transform(F.col("p"), lambda t, i: F.struct(F.when(F.size("p") == F.col(expected), i + 1).alias("pagina"), F.get("s", i).alias("inicio"), t.alias("texto"))))
+    return df.select(key, expected, parts.alias("p"), starts.alias("s")).select(key, page.alias("x")).select(key, "x.pagina", "x.inicio", "x.texto")
 
 
 def placed(parts: DataFrame, key: str, order: str, text: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -18,6 +17,8 @@ RRF = 60
 #: What is broadcast at a time: entries of a block of lexical queries (term and query, 16 bytes each), and bytes of query vectors.
 QUERY_ENTRIES = 2_000_000
 QUERY_BYTES = 32 << 20
+#: Scores, and entries that add up to them, that a worker holds at a time.
+SCORES = 4 << 20
 #: Vectors that a coarse quantizer is fitted on at most; every vector is indexed.
 FIT_VECTORS = 20_000
 
@@ -46,12 +47,14 @@ def query_terms(queries: DataFrame, qid: str, text: str) -> DataFrame:
 def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, qid: str, qtext: str, k: int, tokens=T.tokens) -> DataFrame:
     """(q, key, puntaje, rango): the k best texts of each query, ties by key; texts without a common term aren't ranked.
 
-    Queries pass in blocks of bounded entries.  For each block one pass counts the texts, their length and in how many
-    each of its terms occurs; a second weighs the terms of each text and adds them up by query, so what is shuffled is k
-    rows per query and batch, never postings.  Lengths count all tokens; a text without tokens counts with length 0.
+    Terms travel as 64-bit hashes, so texts reach Python as flat arrays of numbers.  Queries pass in blocks of bounded
+    entries.  For each block one pass counts the texts, their length and in how many each of its terms occurs; a second
+    weighs the terms of each text and adds them up by query, so what is shuffled is k rows per query and batch, never
+    postings.  Lengths count all tokens; a text without tokens counts with length 0.
     """
-    rows = docs.select(key, tokens(F.coalesce(F.col(text), F.lit(""))).alias("w"))
-    terms = queries.select(F.col(qid).alias("q"), F.array_distinct(tokens(F.col(qtext))).alias("ts")).where("size(ts) > 0")
+    hashes = lambda c: F.transform(tokens(c), lambda t: F.xxhash64(t))
+    rows = docs.select(key, hashes(F.coalesce(F.col(text), F.lit(""))).alias("w"))
+    terms = queries.select(F.col(qid).alias("q"), F.array_distinct(hashes(F.col(qtext))).alias("ts")).where("size(ts) > 0")
     kind, block, entries, found = dict(terms.dtypes)["q"], [], 0, []
     for row in terms.toLocalIterator():
         block.append((row.q, row.ts))
@@ -64,59 +67,75 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, qid: str, qte
     return top(reduce(DataFrame.unionByName, found), "q", key, "puntaje", k)
 
 
-def _census(rows: DataFrame, wanted: list[str]) -> tuple[int, float, dict[str, int]]:
-    """(texts, mean length of at least 1, texts by term) of the wanted terms, counted in one pass."""
-    sent = rows.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(wanted)})
+def _term_counts(column: pa.ListArray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term, count) of the wanted (sorted) terms in a batch of texts, by place, and each text's length."""
+    lengths = np.diff(column.offsets.to_numpy())
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    at = np.searchsorted(wanted, flat)
+    at[at == len(wanted)] = 0
+    hit = wanted[at] == flat if len(wanted) else np.zeros(len(flat), bool)
+    pairs, counts = np.unique(np.repeat(np.arange(len(lengths)), lengths)[hit] * max(1, len(wanted)) + at[hit], return_counts=True)
+    return pairs // max(1, len(wanted)), pairs % max(1, len(wanted)), counts, lengths
+
+
+def _census(rows: DataFrame, wanted: np.ndarray) -> tuple[int, float, np.ndarray]:
+    """(texts, mean length of at least 1, texts by term) of the wanted (sorted) terms, counted in one pass."""
+    sent = rows.sparkSession.sparkContext.broadcast(wanted)
     schema = _schema("i bigint, n bigint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, n, total = sent.value, 0, 0
-        counts = np.zeros(len(at) + 2, np.int64)
+        terms = sent.value
+        counts = np.zeros(len(terms) + 2, np.int64)
         for batch in batches:
-            for words in batch.column(0).to_pylist():
-                n, total = n + 1, total + len(words)
-                hit = [i for t in set(words) if (i := at.get(t)) is not None]
-                counts[hit] += 1
-        counts[-2:] = n, total
+            _, term, _, lengths = _term_counts(batch.column(0), terms)
+            counts[: len(terms)] += np.bincount(term, minlength=len(terms))[: len(terms)]
+            counts[-2:] += len(lengths), lengths.sum()
         some = np.flatnonzero(counts)
         if len(some):
             yield _batch((some, counts[some]), schema)
 
-    got = {r.i: r.n for r in rows.select("w").mapInArrow(run, "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).collect()}
-    n, total = got.get(len(wanted), 0), got.get(len(wanted) + 1, 0)
-    return n, max(1.0, total / n) if n else 1.0, {t: got[i] for i, t in enumerate(wanted) if i in got}
+    got = np.zeros(len(wanted) + 2, np.int64)
+    for r in rows.select("w").mapInArrow(run, "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).toLocalIterator():
+        got[r.i] = r.n
+    n, total = int(got[-2]), int(got[-1])
+    return n, max(1.0, total / n) if n else 1.0, got[:-2]
 
 
 def _bm25_block(rows: DataFrame, key: str, block: list, k: int, q_kind: str) -> DataFrame:
-    n, mean, df = _census(rows, sorted({t for _, ts in block for t in ts}))
-    qids = np.array([q for q, _ in block])
-    holders: dict[str, list[int]] = {}
-    for j, (_, ts) in enumerate(block):
-        for t in ts:
-            if t in df:
-                holders.setdefault(t, []).append(j)
-    sent = rows.sparkSession.sparkContext.broadcast((qids, {t: (np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)), np.array(js, np.int32)) for t, js in holders.items()}))
+    wanted, at = np.unique(np.array([t for _, ts in block for t in ts], np.int64), return_inverse=True)
+    n, mean, df = _census(rows, wanted)
+    # the queries of each term, term after term
+    asked = np.repeat(np.arange(len(block)), [len(ts) for _, ts in block])[np.argsort(at, kind="stable")]
+    starts = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(wanted)))]).astype(np.int64)
+    sent = rows.sparkSession.sparkContext.broadcast((np.array([q for q, _ in block]), wanted, np.log(1 + (n - df + 0.5) / (df + 0.5)), starts, asked.astype(np.int32)))
     ddl = f"q {q_kind}, `{key}` {dict(rows.dtypes)[key]}, puntaje double"
     schema = _schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, index = sent.value
+        qids, terms, idf, starts, asked = sent.value
         if not len(qids):
             return
         # so many texts at a time that their scores take 32 MB at most
-        step = max(1, min(512, (4 << 20) // len(qids)))
+        step = max(1, min(512, SCORES // len(qids)))
         for whole in batches:
             for start in range(0, whole.num_rows, step):
                 batch = whole.slice(start, step)
+                text, term, f, lengths = _term_counts(batch.column(1), terms)
+                weight = idf[term] * f * (K1 + 1) / (f + K1 * (1 - B + B * lengths[text] / mean))
+                scores = np.zeros(batch.num_rows * len(qids))
+                holders = starts[term + 1] - starts[term]
+                done = np.cumsum(holders)
+                # entries of texts and queries, so many at a time
+                cuts = np.searchsorted(done, np.arange(SCORES, done[-1] + SCORES, SCORES)) if len(done) else []
+                low = 0
+                for high in [*np.minimum(np.array(cuts, int) + 1, len(term)), len(term)]:
+                    part = slice(low, high)
+                    m = holders[part]
+                    place = np.repeat(starts[term[part]] - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum()) if high > low else np.zeros(0, np.int64)
+                    scores += np.bincount(np.repeat(text[part], m) * len(qids) + asked[place], np.repeat(weight[part], m), len(scores))
+                    low = high
+                scores = np.round(scores.reshape(batch.num_rows, len(qids)), 6)
                 keys = np.array(batch.column(0).to_pylist())
-                scores = np.zeros((len(keys), len(qids)))
-                for i, words in enumerate(batch.column(1).to_pylist()):
-                    norm = K1 * (1 - B + B * len(words) / mean)
-                    for t, c in Counter(words).items():
-                        if t in index:
-                            idf, js = index[t]
-                            scores[i, js] += idf * c * (K1 + 1) / (c + norm)
-                scores = np.round(scores, 6)
                 order = np.lexsort((np.broadcast_to(keys[:, None], scores.shape), -scores), axis=0)[:k]
                 best = np.take_along_axis(scores, order, 0).ravel()
                 q = np.broadcast_to(qids[None, :], order.shape).ravel()

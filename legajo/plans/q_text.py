@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import retrieval as S
+from ..sources.shared import checkpointed
 from ..sources.tables import read
 from .registry import registry
 
@@ -251,27 +252,52 @@ def _near_texts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return words.select("doc_id", "h"), words.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.first("w").alias("w"))
 
 
+#: Shingles that a pair's prefixes must share.
+_SHARED = 4
+
+
 def _near_pairs(texts: DataFrame) -> DataFrame:
     """(a, b, parecido): pairs of texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
 
-    Prefix filter: shingles are ordered by rarity, and two sets that similar share one among the first n - ceil(0.8 n)
-    + 1 of each, so no pair is lost and common shingles are hardly ever joined on.  Lengths that can't reach the
-    similarity are left out; candidates are verified on the whole sets.
+    Shingles are ordered by rarity.  Of two sets so similar the first four that they share stand among the first
+    n - ceil(0.8 n) + 4 of each (all that they must share, where that is fewer), so prefixes that share fewer are no
+    candidates and common shingles are hardly ever joined on.  Lengths and places that can't reach the similarity are left
+    out in the join, and candidates are verified on the whole sets; no pair is lost.
     """
     grams = F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 5), " ")))
-    sets = texts.select("doc_id", F.array_distinct(grams).alias("g"))
+    sets = checkpointed(texts.select("doc_id", F.array_sort(F.array_distinct(grams)).alias("g")))
     long = sets.select("doc_id", F.size("g").alias("n"), F.explode("g").alias("g"))
     rare = long.groupBy("g").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     order = Window.partitionBy("doc_id").orderBy(F.coalesce("f", F.lit(1)), "g")
-    prefix = long.join(rare, "g", "left").withColumn("r", F.row_number().over(order)).where("r <= n - ceil(0.8 * n) + 1 AND f IS NOT NULL").select("doc_id", "n", "g")
-    a, b = prefix.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), "g"), prefix.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), "g")
-    pairs = a.join(b, "g").where("a < b AND nb >= 0.8 * na AND na >= 0.8 * nb").select("a", "b").distinct()
+    prefix = long.join(rare, "g", "left").withColumn("r", F.row_number().over(order)).where(f"r <= n - ceil(0.8 * n) + {_SHARED} AND f IS NOT NULL").select("doc_id", "n", "g", "r")
+    a, b = prefix.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("r").alias("ra"), "g"), prefix.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rb"), "g")
+    reach = F.least("ra", "rb") + F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb"))
+    hits = a.join(b, "g").where((F.col("a") < F.col("b")) & (F.col("nb") >= 0.8 * F.col("na")) & (F.col("na") >= 0.8 * F.col("nb")) & (1.8 * reach >= 0.8 * (F.col("na") + F.col("nb"))))
+    pairs = hits.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min(F.least("na", "nb")).alias("m")).where(f"c >= least({_SHARED}, ceil(0.8 * m))").select("a", "b")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("g").alias("ga")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("g").alias("gb")), "b")
     common = F.size(F.array_intersect("ga", "gb"))
     total = F.size("ga") + F.size("gb") - common
     return both.where(common >= 0.8 * total).select("a", "b", F.round(common / total, 6).alias("parecido"))
 
 
+@query(
+    _NEAR + """, j AS (SELECT a, b, round(c / (x.n + y.n - c)::DOUBLE, 6) AS parecido FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.9 * (x.n + y.n - c)),
+t AS (SELECT doc_id, trim(regexp_replace(lower(text), '[\\s\\p{Z}]+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL)
+SELECT a, b, parecido FROM j JOIN t x ON x.doc_id = a JOIN t y ON y.doc_id = b WHERE length(x.t) BETWEEN 100 AND 30000 AND length(y.t) BETWEEN 100 AND 30000 AND least(length(x.t), length(y.t)) >= 0.9 * greatest(length(x.t), length(y.t)) AND (left(x.t, 80) = left(y.t, 80) OR right(x.t, 80) = right(y.t, 80))"""
+)
+def q76_near_dup_blocking(s: SparkSession, d: str) -> DataFrame:
+    """Pairs of different texts with a similarity of 0.9 that begin or end alike (80 characters) and have lengths within a tenth.
+
+    The blocks are a condition on the pairs that the similarity join finds, so no block is too large to be looked at.
+    """
+    plain = F.trim(F.regexp_replace(F.lower("text"), r"[\s\p{Z}]+", " "))
+    t = read(s, d, "documents").where("text IS NOT NULL").select("doc_id", F.length(plain).alias("n"), F.left(plain, F.lit(80)).alias("i"), F.right(plain, F.lit(80)).alias("f")).where("n BETWEEN 100 AND 30000")
+    pairs = _near_pairs(_near_texts(s, d)[1]).where("parecido >= 0.9")
+    side = lambda k: t.select(F.col("doc_id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in "nif"])
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.where("least(n_a, n_b) >= 0.9 * greatest(n_a, n_b) AND (i_a = i_b OR f_a = f_b)").select("a", "b", "parecido")
+
+
 @query(_NEAR + "SELECT a, b, round(c / (x.n + y.n - c)::DOUBLE, 6) AS parecido FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c)")
 def q77_near_dup_jaccard(s: SparkSession, d: str) -> DataFrame:
     """Pairs of different texts (each by its smallest id) with a Jaccard similarity of 0.8 or more; q77_near_dup_members links every document."""

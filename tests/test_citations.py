@@ -103,5 +103,5 @@ def test_identity_and_names(spark):
     docs = spark.createDataFrame([("a", "ley", "1564", 2012, "x"), ("b", "sentencia", "C-12", 2001, None), ("c", "concepto", None, None, "sobre la Ley 5 de 1990"), ("d", "decreto", "410", 1971, "Código de Comercio"), ("e", None, None, None, None)], "doc_id string, tipo string, numero string, anio int, titulo string")
     got = {(r.doc_id, r.cuerpo) for r in C.identities(docs).collect()}
     assert got == {("a", "codigo_general_proceso"), ("b", "jurisprudencia"), ("c", "ley"), ("d", "decreto"), ("d", "codigo_comercio")}
-    cites = C.extracted(spark.createDataFrame([(1, "artículos 2 y 13 de la Ley 80 de 1993, el Código Civil y también el artículo 9 de la Resolución 5 de 2001")], "id int, t string"), "id", "t")
+    cites = C.extracted(spark.createDataFrame([(1, "El Código Civil rige. Los artículos 2 y 13 de la Ley 80 de 1993 también. El artículo 9 de la Resolución 5 de 2001 no")], "id int, t string"), "id", "t")
     assert C.sentences_of(cites, "id").collect()[0].frase == "Código Civil; Ley 80 de 1993, artículos 2 y 13; Resolución 5 de 2001, artículo 9"
