@@ -56,6 +56,30 @@ def test_near_dup_members(spark, tmp_path):
     assert got == {1: (1, 2, 3), 2: (1, 2, 3), 3: (3, 2, 3), 4: (3, 2, 3), 5: (5, 1, 0), 6: (6, 2, 1), 7: (6, 2, 1)}
 
 
+def test_near_pairs_brute_force(spark, tmp_path):
+    import random
+
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(12):
+        base = rng.choices(vocab, k=rng.randrange(6, 70))
+        texts.append(base)
+        for _ in range(3):
+            other = list(base)
+            for _ in range(rng.randrange(1, 4)):
+                other[rng.randrange(len(other))] = rng.choice(vocab)
+            texts.append(other + rng.choices(vocab, k=rng.randrange(0, 3)))
+    spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sets = {}
+    for i, t in enumerate(texts):
+        sets.setdefault(" ".join(t), (i, {tuple(t[k : k + 5]) for k in range(len(t) - 4)}))
+    items = sorted(sets.values())
+    want = {(a, b): round(len(x & y) / len(x | y), 6) for k, (a, x) in enumerate(items) for b, y in items[k + 1 :] if len(x & y) >= 0.8 * len(x | y)}
+    got = {(r.a, r.b): r.parecido for r in catalog.QUERIES["q77_near_dup_jaccard"](spark, str(tmp_path)).collect()}
+    assert got == want and want
+
+
 def test_pages_of_whole_texts(spark, tmp_path):
     texts = {1: "x" * 161, 2: "corto", 3: "a\fb" + "y" * 80, 4: "", 5: None, 6: "z" * 80}
     spark.createDataFrame(list(texts.items()), "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
