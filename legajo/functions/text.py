@@ -369,3 +369,26 @@ def validity(c: Column) -> Column:
 def level(scope: Column, state: Column, bulk: Column, cited: Column) -> Column:
     """Whether a norm belongs to the core: not those of other scopes or without force, nor those of a bulk source that nothing cites."""
     return F.when(scope.isin("tratado_internacional", "honorifica", "ambiental") | state.isin("derogada", "inexequible"), "complementario").when(bulk & ~cited, "complementario").otherwise("nucleo")
+
+
+def words_between(text: Column, start: Column, end: Column) -> Column:
+    """How many words begin in a half-open stretch of a text."""
+    return word_count(F.left(text, end.cast("int"))) - word_count(F.left(text, start.cast("int")))
+
+
+def names_norm(text: Column, kind: Column, number: Column, year: Column) -> Column:
+    """Whether a text's first 80,000 characters name the norm or judgment that it is filed as; true for kinds without a rule.
+
+    Norms by kind, number and year, a full date between them allowed; judgments by chamber and number, in any of their
+    spellings; a constitution by its name.
+    """
+    t = fold_vowels(F.regexp_replace(F.left(text, F.lit(80000)), r"\s+", " "))
+    n, y = F.regexp_extract(number, r"0*(\d+)", 1), year.cast("string")
+    norm = F.concat(F.lit(r"\b"), F.translate(kind, "_", " "), F.lit(r"\b[^0-9]{0,25}0*"), n, F.lit(r" del? (?:[0-9]+ de [a-z]+ de )?"), y)
+    chamber = F.lower(F.regexp_extract(number, r"^([A-Za-z]+)", 1))
+    judgment = F.concat(F.lit(r"\b"), chamber, F.lit(r"\s*[-.]?\s*0*"), n, F.lit(r"(?:$|[^\p{L}\p{N}_])"))
+    known = (n != "") & y.isNotNull()
+    return (
+        F.when(kind.isin("ley", "decreto", "acto_legislativo") & known, F.regexp_like(t, norm)).when(kind == "constitucion", t.contains("constitucion politica"))
+        .when(kind.isin("sentencia", "auto") & (n != "") & (chamber != ""), F.regexp_like(t, judgment)).when(kind.isin("sentencia", "auto") & (n != ""), t.contains(n)).otherwise(F.lit(True))
+    )

@@ -183,3 +183,25 @@ def q71_validity_marks(s: SparkSession, d: str) -> DataFrame:
     )
     rows = read(s, d, "nation").select("n_nationkey", T.validity(t).alias("senal"))
     return rows.select("n_nationkey", "senal", T.level(F.lit(None).cast("string"), F.col("senal"), F.lit(False), F.lit(True)).alias("nivel"))
+
+
+@query("SELECT id, (len(regexp_extract_all(left(texto, 300), '[\\p{L}\\p{N}_]+')) - len(regexp_extract_all(left(texto, 100), '[\\p{L}\\p{N}_]+')))::BIGINT AS n FROM chunks WHERE texto IS NOT NULL")
+def s20_words_between(s: SparkSession, d: str) -> DataFrame:
+    """Words that begin between the hundredth and the three hundredth character."""
+    return read(s, d, "chunks").where("texto IS NOT NULL").select("id", T.words_between(F.col("texto"), F.lit(100), F.lit(300)).alias("n"))
+
+
+_T80 = r"translate(lower(regexp_replace(left(c.texto, 80000), '\s+', ' ', 'g')), 'áéíóúü', 'aeiouu')"
+
+
+@query(
+    rf"""WITH m AS (SELECT regexp_replace(lower(trim(doc_id)), '[\s\-_]+', '_', 'g') AS k, min(tipo) AS tipo, min(numero) AS numero, min(anio) AS anio FROM manifiesto GROUP BY 1),
+j AS (SELECT c.id, m.tipo, m.anio, m.numero, regexp_extract(m.numero, '0*(\d+)', 1) AS n, lower(regexp_extract(m.numero, '^([A-Za-z]+)', 1)) AS s, {_T80} AS t FROM chunks c JOIN m ON m.k = regexp_replace(lower(trim(c.doc_id)), '[\s\-_]+', '_', 'g') WHERE c.texto IS NOT NULL)
+SELECT id, CASE WHEN tipo IN ('ley', 'decreto', 'acto_legislativo') AND n <> '' AND anio IS NOT NULL THEN regexp_matches(t, '\b' || replace(tipo, '_', ' ') || '\b[^0-9]{{0,25}}0*' || n || ' del? (?:[0-9]+ de [a-z]+ de )?' || anio) WHEN tipo = 'constitucion' THEN contains(t, 'constitucion politica')
+  WHEN tipo IN ('sentencia', 'auto') AND n <> '' AND s <> '' THEN regexp_matches(t, '\b' || s || '\s*[-.]?\s*0*' || n || '(?:$|[^\p{{L}}\p{{N}}_])') WHEN tipo IN ('sentencia', 'auto') AND n <> '' THEN contains(t, n) ELSE true END AS nombra FROM j"""
+)
+def s21_names_norm(s: SparkSession, d: str) -> DataFrame:
+    """Whether each chunk names the norm or judgment that it is filed as."""
+    m = read(s, d, "manifiesto").groupBy(T.settle_id(F.col("doc_id")).alias("k")).agg(*[F.min(c).alias(c) for c in ("tipo", "numero", "anio")])
+    c = read(s, d, "chunks").where("texto IS NOT NULL").select("id", T.settle_id(F.col("doc_id")).alias("k"), "texto").join(m, "k")
+    return c.select("id", T.names_norm(F.col("texto"), F.col("tipo"), F.col("numero"), F.col("anio")).alias("nombra"))
