@@ -219,7 +219,6 @@ GRAPH_CC_DASH = r"\b([Ss][Uu]|[CcTt])\s*[-.]\s*(\d{1,4})\s*-\s*((?:19|20)\d{2}|\
 GRAPH_CSJ = r"\b(SL|SC|SP|STL|STC|STP|AL|AC|AP)\s?-?\s?(\d{2,5})\s*-\s*((?:19|20)\d{2})\b"
 #: A bill: its number is the proceeding's, no norm's.
 BILL_AFTER = r"[\s,\-–—(]*(?:de\s+(?:la|el)\s+)?(?:Senado|C[aá]mara)\b"
-BILL_BEFORE = r"(?i)proyecto\s{1,9}de\s{0,9}"
 
 
 def references(text: Column) -> Column:
@@ -228,9 +227,11 @@ def references(text: Column) -> Column:
     Norms of 1821 to 2026, bills excluded, dotted numbers read; judgments of both courts, two-digit years from 91 on
     belong to the last century.  Null gives null.
     """
-    text = F.regexp_replace(text, r"[\x{00a0}\x{2007}\x{202f}]", " ")
+    text = F.translate(text, "\u00a0\u2007\u202f", "   ")
     part = lambda p, i: lambda x: F.regexp_extract(x, p, i)
-    norm = T.any_case(rf"(?<!(?i:proyecto\s{{1,9}}de\s{{0,9}})){GRAPH_NORM}(?!(?i:{BILL_AFTER}))")
+    bills = T.any_case(rf"(?i)proyecto\s{{1,9}}de\s{{0,9}}{GRAPH_NORM}")
+    laws = F.when(text.rlike("(?i)proyecto"), F.regexp_replace(text, bills, " ")).otherwise(text)
+    norm = T.any_case(rf"{GRAPH_NORM}(?!(?i:{BILL_AFTER}))")
     wording = T.any_case(GRAPH_NORM)
     kind = lambda x: F.when(F.lower(x).startswith("acto"), "acto_legislativo").when(F.lower(x).startswith("decreto"), "decreto").otherwise("ley")
 
@@ -251,8 +252,10 @@ def references(text: Column) -> Column:
         year = part(GRAPH_CSJ, 3)(x).cast("int")
         return F.when(year.between(1990, 2026), F.concat(F.lit("sentencia_csj_"), F.lower(part(GRAPH_CSJ, 1)(x)), part(GRAPH_CSJ, 2)(x).cast("int").cast("string"), F.lit("_"), year.cast("string")))
 
-    every = lambda p, f: F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), f)
-    return F.array_compact(F.concat(every(norm, one), every(GRAPH_CC, judgment(GRAPH_CC)), every(GRAPH_CC_DASH, judgment(GRAPH_CC_DASH)), every(GRAPH_CSJ, supreme)))
+    # judgments are looked for in one pass; what each is, its own few characters tell
+    every = f"{GRAPH_CC}|{GRAPH_CC_DASH}|{GRAPH_CSJ}"
+    court = lambda x: F.when(x.rlike(f"^{GRAPH_CC}$"), judgment(GRAPH_CC)(x)).when(x.rlike(f"^{GRAPH_CC_DASH}$"), judgment(GRAPH_CC_DASH)(x)).otherwise(supreme(x))
+    return F.array_compact(F.concat(F.transform(F.regexp_extract_all(laws, F.lit(norm), F.lit(0)), one), F.transform(F.regexp_extract_all(text, F.lit(every), F.lit(0)), court)))
 
 
 def reference_name(key: Column) -> Column:
@@ -277,9 +280,9 @@ def graph(cites: DataFrame, source: str, target: str, known: DataFrame | None =
     """One row per cited norm: citing documents, mentions, those among primary sources, four chief areas, first five citers, whether it is known.
 
     cites holds a row per mention.  Counting combines before the shuffle: (target, source) first, then target; examples
-    and areas are ranked lists of bounded length, never collected groups.
+    and areas are ranked lists of bounded length, never collected groups.  The pairs are written once and read for each.
     """
-    per = cites.groupBy(target, source).agg(F.count(F.lit(1)).alias("m"))
+    per = checkpointed(cites.groupBy(target, source).agg(F.count(F.lit(1)).alias("m")))
     if primary is not None:
         per = per.join(primary.select(F.col(primary.columns[0]).alias(source), F.lit(1).alias("_p")).distinct(), source, "left")
     else:

@@ -264,16 +264,21 @@ def _near_pairs(texts: DataFrame) -> DataFrame:
     candidates and common shingles are hardly ever joined on.  Lengths and places that can't reach the similarity are left
     out in the join, and candidates are verified on the whole sets; no pair is lost.
     """
-    grams = F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 5), " ")))
-    sets = checkpointed(texts.select("doc_id", F.array_sort(F.array_distinct(grams)).alias("g")))
-    long = sets.select("doc_id", F.size("g").alias("n"), F.explode("g").alias("g"))
-    rare = long.groupBy("g").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-    order = Window.partitionBy("doc_id").orderBy(F.coalesce("f", F.lit(1)), "g")
-    prefix = long.join(rare, "g", "left").withColumn("r", F.row_number().over(order)).where(f"r <= n - ceil(0.8 * n) + {_SHARED} AND f IS NOT NULL").select("doc_id", "n", "g", "r")
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 5), " "))))
+    sets = texts.select("doc_id", grams.alias("g"))
+    # a shingle that no other text has goes with the join, which splits a hot one
+    long = sets.select(F.explode("g").alias("g"), "doc_id")
+    shared = long.join(long.groupBy("g").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "g")
+    sizes = sets.select("doc_id", F.size("g").alias("n"))
+    order = Window.partitionBy("doc_id").orderBy("f", "g")
+    # the shingles of one text alone come first in the order: they only move the others back
+    placed = shared.withColumn("k", F.row_number().over(order)).withColumn("s", F.count(F.lit(1)).over(Window.partitionBy("doc_id")))
+    prefix = placed.join(sizes, "doc_id").withColumn("r", F.col("n") - F.col("s") + F.col("k")).where(f"r <= n - ceil(0.8 * n) + {_SHARED}").select("doc_id", "n", "g", "r")
     a, b = prefix.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("r").alias("ra"), "g"), prefix.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rb"), "g")
     reach = F.least("ra", "rb") + F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb"))
     hits = a.join(b, "g").where((F.col("a") < F.col("b")) & (F.col("nb") >= 0.8 * F.col("na")) & (F.col("na") >= 0.8 * F.col("nb")) & (1.8 * reach >= 0.8 * (F.col("na") + F.col("nb"))))
     pairs = hits.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min(F.least("na", "nb")).alias("m")).where(f"c >= least({_SHARED}, ceil(0.8 * m))").select("a", "b")
+    pairs = checkpointed(pairs)
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("g").alias("ga")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("g").alias("gb")), "b")
     common = F.size(F.array_intersect("ga", "gb"))
     total = F.size("ga") + F.size("gb") - common
