@@ -227,10 +227,11 @@ def references(text: Column) -> Column:
     Norms of 1821 to 2026, bills excluded, dotted numbers read; judgments of both courts, two-digit years from 91 on
     belong to the last century.  Null gives null.
     """
-    text = F.translate(text, "\u00a0\u2007\u202f", "   ")
+    hard = "\u00a0\u2007\u202f"
+    text = F.when(text.rlike(f"[{hard}]"), F.translate(text, hard, "   ")).otherwise(text)
     part = lambda p, i: lambda x: F.regexp_extract(x, p, i)
     bills = T.any_case(rf"(?i)proyecto\s{{1,9}}de\s{{0,9}}{GRAPH_NORM}")
-    laws = F.when(text.rlike("(?i)proyecto"), F.regexp_replace(text, bills, " ")).otherwise(text)
+    laws = lambda t: F.when(t.rlike("(?i)proyecto"), F.regexp_replace(t, bills, " ")).otherwise(t)
     norm = T.any_case(rf"{GRAPH_NORM}(?!(?i:{BILL_AFTER}))")
     wording = T.any_case(GRAPH_NORM)
     kind = lambda x: F.when(F.lower(x).startswith("acto"), "acto_legislativo").when(F.lower(x).startswith("decreto"), "decreto").otherwise("ley")
@@ -253,9 +254,10 @@ def references(text: Column) -> Column:
         return F.when(year.between(1990, 2026), F.concat(F.lit("sentencia_csj_"), F.lower(part(GRAPH_CSJ, 1)(x)), part(GRAPH_CSJ, 2)(x).cast("int").cast("string"), F.lit("_"), year.cast("string")))
 
     # judgments are looked for in one pass; what each is, its own few characters tell
-    every = f"{GRAPH_CC}|{GRAPH_CC_DASH}|{GRAPH_CSJ}"
+    every = f"(?=[ASCTsct])(?:{GRAPH_CC}|{GRAPH_CC_DASH}|{GRAPH_CSJ})"
     court = lambda x: F.when(x.rlike(f"^{GRAPH_CC}$"), judgment(GRAPH_CC)(x)).when(x.rlike(f"^{GRAPH_CC_DASH}$"), judgment(GRAPH_CC_DASH)(x)).otherwise(supreme(x))
-    return F.array_compact(F.concat(F.transform(F.regexp_extract_all(laws, F.lit(norm), F.lit(0)), one), F.transform(F.regexp_extract_all(text, F.lit(every), F.lit(0)), court)))
+    found = lambda t: F.concat(F.transform(F.regexp_extract_all(laws(t), F.lit(norm), F.lit(0)), one), F.transform(F.regexp_extract_all(t, F.lit(every), F.lit(0)), court))
+    return F.array_compact(T.once(text, found))
 
 
 def reference_name(key: Column) -> Column:
