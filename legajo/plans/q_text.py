@@ -265,7 +265,7 @@ def _near_pairs(texts: DataFrame) -> DataFrame:
     out in the join, and candidates are verified on the whole sets; no pair is lost.
     """
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 5), " "))))
-    sets = texts.select("doc_id", grams.alias("g"))
+    sets = checkpointed(texts.select("doc_id", grams.alias("g")))
     # a shingle that no other text has goes with the join, which splits a hot one
     long = sets.select(F.explode("g").alias("g"), "doc_id")
     shared = long.join(long.groupBy("g").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "g")
