@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import retrieval as S
+from ..operators.near import near_pairs
 from ..sources.shared import checkpointed
 from ..sources.tables import read
 from .registry import registry
@@ -246,45 +247,6 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.
 """
 
 
-def _near_texts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Documents of five words or more with their text's hash, and the different texts, each by its smallest id."""
-    words = read(s, d, "documents").where("text IS NOT NULL").select("doc_id", T.tokens(F.col("text")).alias("w")).where("size(w) >= 5").withColumn("h", F.sha2(F.array_join("w", " "), 256))
-    return words.select("doc_id", "h"), words.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.first("w").alias("w"))
-
-
-#: Shingles that a pair's prefixes must share.
-_SHARED = 4
-
-
-def _near_pairs(texts: DataFrame) -> DataFrame:
-    """(a, b, parecido): pairs of texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
-
-    Shingles are ordered by rarity.  Of two sets so similar the first four that they share stand among the first
-    n - ceil(0.8 n) + 4 of each (all that they must share, where that is fewer), so prefixes that share fewer are no
-    candidates and common shingles are hardly ever joined on.  Lengths and places that can't reach the similarity are left
-    out in the join, and candidates are verified on the whole sets; no pair is lost.
-    """
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 5), " "))))
-    sets = checkpointed(texts.select("doc_id", grams.alias("g")))
-    # a shingle that no other text has goes with the join, which splits a hot one
-    long = sets.select(F.explode("g").alias("g"), "doc_id")
-    shared = long.join(long.groupBy("g").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "g")
-    sizes = sets.select("doc_id", F.size("g").alias("n"))
-    order = Window.partitionBy("doc_id").orderBy("f", "g")
-    # the shingles of one text alone come first in the order: they only move the others back
-    placed = shared.withColumn("k", F.row_number().over(order)).withColumn("s", F.count(F.lit(1)).over(Window.partitionBy("doc_id")))
-    prefix = placed.join(sizes, "doc_id").withColumn("r", F.col("n") - F.col("s") + F.col("k")).where(f"r <= n - ceil(0.8 * n) + {_SHARED}").select("doc_id", "n", "g", "r")
-    a, b = prefix.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("r").alias("ra"), "g"), prefix.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rb"), "g")
-    reach = F.least("ra", "rb") + F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb"))
-    hits = a.join(b, "g").where((F.col("a") < F.col("b")) & (F.col("nb") >= 0.8 * F.col("na")) & (F.col("na") >= 0.8 * F.col("nb")) & (1.8 * reach >= 0.8 * (F.col("na") + F.col("nb"))))
-    pairs = hits.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min(F.least("na", "nb")).alias("m")).where(f"c >= least({_SHARED}, ceil(0.8 * m))").select("a", "b")
-    pairs = checkpointed(pairs)
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("g").alias("ga")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("g").alias("gb")), "b")
-    common = F.size(F.array_intersect("ga", "gb"))
-    total = F.size("ga") + F.size("gb") - common
-    return both.where(common >= 0.8 * total).select("a", "b", F.round(common / total, 6).alias("parecido"))
-
-
 @query(
     _NEAR + """, j AS (SELECT a, b, round(c / (x.n + y.n - c)::DOUBLE, 6) AS parecido FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.9 * (x.n + y.n - c)),
 t AS (SELECT doc_id, trim(regexp_replace(lower(text), '[\\s\\p{Z}]+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL)
@@ -297,7 +259,7 @@ def q76_near_dup_blocking(s: SparkSession, d: str) -> DataFrame:
     """
     plain = F.trim(F.regexp_replace(F.lower("text"), r"[\s\p{Z}]+", " "))
     t = read(s, d, "documents").where("text IS NOT NULL").select("doc_id", F.length(plain).alias("n"), F.left(plain, F.lit(80)).alias("i"), F.right(plain, F.lit(80)).alias("f")).where("n BETWEEN 100 AND 30000")
-    pairs = _near_pairs(_near_texts(s, d)[1]).where("parecido >= 0.9")
+    pairs = near_pairs(read(s, d, "documents").where("text IS NOT NULL").select("doc_id", "text")).where("parecido >= 0.9")
     side = lambda k: t.select(F.col("doc_id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in "nif"])
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     return both.where("least(n_a, n_b) >= 0.9 * greatest(n_a, n_b) AND (i_a = i_b OR f_a = f_b)").select("a", "b", "parecido")
@@ -306,7 +268,7 @@ def q76_near_dup_blocking(s: SparkSession, d: str) -> DataFrame:
 @query(_NEAR + "SELECT a, b, round(c / (x.n + y.n - c)::DOUBLE, 6) AS parecido FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c)")
 def q77_near_dup_jaccard(s: SparkSession, d: str) -> DataFrame:
     """Pairs of different texts (each by its smallest id) with a Jaccard similarity of 0.8 or more; q77_near_dup_members links every document."""
-    return _near_pairs(_near_texts(s, d)[1])
+    return near_pairs(read(s, d, "documents").where("text IS NOT NULL").select("doc_id", "text"))
 
 
 @query(
@@ -322,9 +284,11 @@ def q77_near_dup_members(s: SparkSession, d: str) -> DataFrame:
 
     A link is another document, be it a copy or a near copy, with a similarity of 0.8 or more.
     """
-    docs, texts = _near_texts(s, d)
+    texts = read(s, d, "documents").where("text IS NOT NULL").select("doc_id", "text")
+    words = texts.select("doc_id", T.tokens(F.col("text")).alias("w"))
+    docs = checkpointed(words.select("doc_id", F.size("w").alias("n"), F.unhex(F.sha2(F.array_join("w", " "), 256)).alias("h"))).where("n >= 5").select("doc_id", "h")
     classes = docs.groupBy("h").agg(F.min("doc_id").alias("clase"), F.count(F.lit(1)).alias("copias"))
-    pairs = _near_pairs(texts).select("a", "b")
+    pairs = near_pairs(texts).select("a", "b")
     edges = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("clase"), F.col("b").alias("vecina")), F.struct(F.col("b").alias("clase"), F.col("a").alias("vecina")))).alias("e")).select("e.*")
     near = edges.join(classes.select(F.col("clase").alias("vecina"), "copias"), "vecina").groupBy("clase").agg(F.sum("copias").alias("otros"))
     sized = classes.join(near, "clase", "left").select("h", "clase", "copias", (F.col("copias") - 1 + F.coalesce("otros", F.lit(0))).alias("enlaces"))

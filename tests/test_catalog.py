@@ -80,6 +80,42 @@ def test_near_pairs_brute_force(spark, tmp_path):
     assert got == want and want
 
 
+def near_texts(spark, folder):
+    import random
+
+    rng = random.Random(21)
+    vocab = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(rng.choices(vocab, k=400)) for _ in range(200)]
+    texts += [f"{t} fin {i}" for i, t in enumerate(texts[:20])]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(4).write.parquet(f"{folder}/documents.parquet")
+    return {(i, 200 + i) for i in range(20)}
+
+
+def test_near_pairs_write_few_shingles(spark, tmp_path):
+    from legajo.sources.shared import shared_folder
+
+    want = near_texts(spark, tmp_path)
+    folder = shared_folder(spark).removeprefix("file:")
+    held = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(folder) for f in files)
+    before = held()
+    df = catalog.QUERIES["q77_near_dup_jaccard"](spark, str(tmp_path))
+    assert {(r.a, r.b) for r in df.collect()} == want
+    # 220 sets of 396 hashes would be 697,000 bytes
+    assert held() - before < 50_000
+
+
+@pytest.mark.parametrize("level", [0, None])
+def test_near_pairs_of_any_order(spark, tmp_path, monkeypatch, level):
+    import random
+
+    from legajo.operators import near
+
+    order = bytes(near.COUNTERS) if level == 0 else random.Random(3).randbytes(near.COUNTERS)
+    want = near_texts(spark, tmp_path)
+    monkeypatch.setattr(near, "levels", lambda hashed: order)
+    assert {(r.a, r.b) for r in catalog.QUERIES["q77_near_dup_jaccard"](spark, str(tmp_path)).collect()} == want
+
+
 def test_pages_of_whole_texts(spark, tmp_path):
     texts = {1: "x" * 161, 2: "corto", 3: "a\fb" + "y" * 80, 4: "", 5: None, 6: "z" * 80}
     spark.createDataFrame(list(texts.items()), "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
