@@ -104,6 +104,18 @@ def test_near_pairs_write_few_shingles(spark, tmp_path):
     assert held() - before < 50_000
 
 
+def test_near_members_write_few_shingles(spark, tmp_path):
+    from legajo.sources.shared import shared_folder
+
+    links = [i for pair in near_texts(spark, tmp_path) for i in pair]
+    folder = shared_folder(spark).removeprefix("file:")
+    held = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(folder) for f in files)
+    before = held()
+    df = catalog.QUERIES["q77_near_dup_members"](spark, str(tmp_path))
+    assert {r.doc_id: (r.clase, r.copias, r.enlaces) for r in df.collect()} == {i: (i, 1, int(i in links)) for i in range(220)}
+    assert held() - before < 50_000
+
+
 @pytest.mark.parametrize("level", [0, None])
 def test_near_pairs_of_any_order(spark, tmp_path, monkeypatch, level):
     import random
