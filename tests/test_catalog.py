@@ -104,6 +104,18 @@ def test_near_pairs_write_few_shingles(spark, tmp_path):
     assert held() - before < 50_000
 
 
+def test_near_blocking_writes_few_shingles(spark, tmp_path):
+    from legajo.sources.shared import shared_folder
+
+    want = near_texts(spark, tmp_path)
+    folder = shared_folder(spark).removeprefix("file:")
+    held = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(folder) for f in files)
+    before = held()
+    df = catalog.QUERIES["q76_near_dup_blocking"](spark, str(tmp_path))
+    assert {(r.a, r.b) for r in df.collect()} == want
+    assert held() - before < 50_000
+
+
 def test_near_members_write_few_shingles(spark, tmp_path):
     from legajo.sources.shared import shared_folder
 
