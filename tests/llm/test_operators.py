@@ -123,6 +123,19 @@ def test_scan_headers_of_any_wording(spark):
     assert P4.headers(chunks(spark, texts[:1] * 5)) == frozenset()
 
 
+def test_scan_headers_beyond_the_broadcast(spark, tmp_path, monkeypatch):
+    titles = ["Memorias del Concejo Rural", "Boletín del Archivo General", "Anales de la Junta Marítima"]
+    texts = [f"la frase {i} sigue en el\n{h}\n{i}\nrenglón de abajo." for h in titles for i in range(10, 14)] + ["Anales de la Junta Marítima\nla frase acaba aquí."]
+    df = chunks(spark, texts).select("id", "texto")
+    df.write.parquet(f"{tmp_path}/chunks.parquet")
+    whole = {r.id: r.lineas for r in P4.noise(df).collect()}
+    rebuilt = {r.id: r.texto for r in P4.p4_rebuilt(spark, str(tmp_path)).collect()}
+    assert set(whole.values()) == {1, 2} and len(whole) == 13 and len(P4.headers(df)) == 3
+    monkeypatch.setattr(P4, "KNOWN_WORDS", 1)
+    assert {r.id: r.lineas for r in P4.noise(df).collect()} == whole
+    assert {r.id: r.texto for r in P4.p4_rebuilt(spark, str(tmp_path)).collect()} == rebuilt
+
+
 def test_scan_words(spark):
     word = "la notificación de la sentencia se ordenó"
     texts = [word] * 200 + ["la notif!cación se ordenó", "la sentencla quedó", None, "", "la notificacion se ordeno", "serial SL1O-152B"]
