@@ -8,7 +8,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
@@ -104,32 +104,37 @@ def prefixes(hashed: DataFrame) -> DataFrame:
 
 
 def candidates(texts: DataFrame) -> DataFrame:
-    """(a, b): pairs whose prefixes share enough at places that may reach a Jaccard similarity of 0.8, from (doc_id, n, p)."""
+    """(a, b): pairs whose prefixes share enough at places that may reach a Jaccard similarity of 0.8, from (doc_id, n, p).
+
+    The join is a merge join by hint: estimates of size don't see how long an array is, so that exploded ones pass for small
+    enough to be broadcast.
+    """
     prefix = texts.select("doc_id", "n", F.posexplode("p").alias("r", "g")).withColumn("r", F.col("r") + 1)
     a, b = (prefix.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("r").alias(f"r{k}"), "g") for k in "ab")
     fits = "a < b AND 5 * nb >= 4 * na AND 5 * na >= 4 * nb AND 9 * (least(ra, rb) + least(na - ra, nb - rb)) >= 4 * (na + nb)"
-    hits = a.join(b, "g").where(fits).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min(F.least("na", "nb")).alias("m"))
+    hits = a.join(b.hint("merge"), "g").where(fits).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min(F.least("na", "nb")).alias("m"))
     return hits.where(f"c >= least({SHARED}, ceil(0.8 * m))").select("a", "b")
 
 
-def near_pairs(docs: DataFrame) -> DataFrame:
-    """(a, b, parecido): pairs of different texts, each by its smallest id, with a Jaccard similarity of 0.8 or more, from (doc_id, text).
+def near_pairs(docs: DataFrame, **more: Column) -> DataFrame:
+    """(a, b, parecido, and each of more as name_a, name_b): pairs of different texts, each by its smallest id, with a Jaccard similarity of 0.8 or more, from (doc_id, text).
 
     Shingles are ordered by a sketch of their frequency, then by their hash; any order that is the same for all texts finds all
     pairs, a rare-first one finds few others.  Of two sets so similar the first four shingles that they share stand among
     the first n - ceil(0.8 n) + 4 of each (all that they must share, where that is fewer).  Only these are shuffled.  Lengths
     and places that can't reach the similarity are left out in the join, and candidates are verified on the whole sets, read
-    again from their texts; no pair is lost.
+    again from their texts; no pair is lost.  Only the candidates' ids are broadcast; what grows with texts or pairs never is.
     """
     w = T.tokens(F.col("text"))
     hashed = docs.select("doc_id", F.transform(w, lambda x: F.xxhash64(x)).alias("words"))
     texts = prefixes(hashed).groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("p").alias("p"))
     pairs = checkpointed(candidates(texts.select("doc_id", "n", "p")))
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 5), " "))))
-    sets = docs.join(ids, "doc_id", "left_semi").select("doc_id", w.alias("w")).select("doc_id", grams.alias("g"))
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("g").alias("ga")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("g").alias("gb")), "b")
+    sets = docs.join(ids, "doc_id", "left_semi").select("doc_id", w.alias("w"), *[c.alias(k) for k, c in more.items()]).select("doc_id", grams.alias("g"), *more)
+    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("g").alias(f"g{x}"), *[F.col(k).alias(f"{k}_{x}") for k in more]).hint("merge")
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("ga", "gb"))
     total = F.size("ga") + F.size("gb") - common
-    return both.where(5 * common >= 4 * total).select("a", "b", F.round(common / total, 6).alias("parecido"))
+    return both.where(5 * common >= 4 * total).select("a", "b", F.round(common / total, 6).alias("parecido"), *[f"{k}_{x}" for k in more for x in "ab"])

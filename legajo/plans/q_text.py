@@ -258,10 +258,8 @@ def q76_near_dup_blocking(s: SparkSession, d: str) -> DataFrame:
     The blocks are a condition on the pairs that the similarity join finds, so no block is too large to be looked at.
     """
     plain = F.trim(F.regexp_replace(F.lower("text"), r"[\s\p{Z}]+", " "))
-    t = read(s, d, "documents").where("text IS NOT NULL").select("doc_id", F.length(plain).alias("n"), F.left(plain, F.lit(80)).alias("i"), F.right(plain, F.lit(80)).alias("f")).where("n BETWEEN 100 AND 30000")
-    pairs = near_pairs(read(s, d, "documents").where("text IS NOT NULL").select("doc_id", "text")).where("parecido >= 0.9")
-    side = lambda k: t.select(F.col("doc_id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in "nif"])
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    pairs = near_pairs(read(s, d, "documents").where("text IS NOT NULL").select("doc_id", "text"), n=F.length(plain), i=F.left(plain, F.lit(80)), f=F.right(plain, F.lit(80)))
+    both = pairs.where("parecido >= 0.9 AND n_a BETWEEN 100 AND 30000 AND n_b BETWEEN 100 AND 30000")
     return both.where("least(n_a, n_b) >= 0.9 * greatest(n_a, n_b) AND (i_a = i_b OR f_a = f_b)").select("a", "b", "parecido")
 
 

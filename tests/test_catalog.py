@@ -2,6 +2,7 @@
 
 import glob
 import os
+import re
 
 import pytest
 
@@ -128,6 +129,32 @@ def test_near_members_write_few_shingles(spark, tmp_path):
     assert held() - before < 50_000
 
 
+def broadcast_joins(spark, run):
+    """Kinds of the broadcast joins that ran."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    before = store.executionsCount()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    plans = [x.physicalPlanDescription() for x in (store.executionsList().apply(i) for i in range(before, store.executionsCount()))]
+    assert plans
+    return {kind for p in plans for kind in re.findall(r"Broadcast\w+Join (\w+)", p.partition("== Initial Plan ==")[0])}
+
+
+def test_near_blocking_broadcasts_ids_only(spark, tmp_path):
+    near_texts(spark, tmp_path)
+    assert broadcast_joins(spark, lambda: catalog.QUERIES["q76_near_dup_blocking"](spark, str(tmp_path)).collect()) <= {"LeftSemi"}
+
+
+def test_near_blocking_lengths(spark, tmp_path):
+    base = " ".join(f"w{i}" for i in range(60))
+    long = " ".join(f"palabra{i}" for i in range(3000))
+    rows = [(1, base), (2, f"{base} fin"), (3, "a b c d e f g h i j k"), (4, "a b c d e f g h i j k l"), (5, long), (6, f"{long} fin"), (7, f"Otro {base.replace('w59', 'fin')}"), (8, f"{base.upper()}{' .' * 40}")]
+    spark.createDataFrame(rows, "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.a, r.b) for r in catalog.QUERIES["q76_near_dup_blocking"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 2)}
+
+
 @pytest.mark.parametrize("level", [0, None])
 def test_near_pairs_of_any_order(spark, tmp_path, monkeypatch, level):
     import random
