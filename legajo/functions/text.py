@@ -18,7 +18,7 @@ def fold(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Words in lower case, accents kept."""
-    return F.regexp_extract_all(F.lower(F.translate(c, "İ", "I")), F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(F.lower(F.replace(c, F.lit("İ"), F.lit("I"))), F.lit(WORD), F.lit(0))
 
 
 def word_count(c: Column) -> Column:

@@ -280,7 +280,8 @@ SELECT doc_id, clase, copias, (copias - 1 + coalesce(otros, 0))::BIGINT AS enlac
 def q77_near_dup_members(s: SparkSession, d: str) -> DataFrame:
     """Every document of five words or more: the class of its equal texts (their smallest id), the class's size, and its links.
 
-    A link is another document, be it a copy or a near copy, with a similarity of 0.8 or more.
+    A link is another document, be it a copy or a near copy, with a similarity of 0.8 or more.  All joins are merge joins by
+    hint: classes grow with the texts, and their size is estimated from the compressed files.
     """
     texts = read(s, d, "documents").where("text IS NOT NULL").select("doc_id", "text")
     words = texts.select("doc_id", T.tokens(F.col("text")).alias("w"))
@@ -288,9 +289,9 @@ def q77_near_dup_members(s: SparkSession, d: str) -> DataFrame:
     classes = docs.groupBy("h").agg(F.min("doc_id").alias("clase"), F.count(F.lit(1)).alias("copias"))
     pairs = near_pairs(texts).select("a", "b")
     edges = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("clase"), F.col("b").alias("vecina")), F.struct(F.col("b").alias("clase"), F.col("a").alias("vecina")))).alias("e")).select("e.*")
-    near = edges.join(classes.select(F.col("clase").alias("vecina"), "copias"), "vecina").groupBy("clase").agg(F.sum("copias").alias("otros"))
-    sized = classes.join(near, "clase", "left").select("h", "clase", "copias", (F.col("copias") - 1 + F.coalesce("otros", F.lit(0))).alias("enlaces"))
-    return docs.join(sized, "h").select("doc_id", "clase", "copias", "enlaces")
+    near = edges.join(classes.select(F.col("clase").alias("vecina"), "copias").hint("merge"), "vecina").groupBy("clase").agg(F.sum("copias").alias("otros"))
+    sized = classes.join(near.hint("merge"), "clase", "left").select("h", "clase", "copias", (F.col("copias") - 1 + F.coalesce("otros", F.lit(0))).alias("enlaces"))
+    return docs.join(sized.hint("merge"), "h").select("doc_id", "clase", "copias", "enlaces")
 
 
 @query("SELECT linea, count(*) AS n, count(DISTINCT id) AS fragmentos FROM (SELECT id, trim(unnest(string_split(texto, chr(10)))) AS linea FROM chunks) WHERE length(linea) BETWEEN 5 AND 140 GROUP BY 1 HAVING count(*) >= 3")

@@ -146,6 +146,11 @@ def test_near_blocking_broadcasts_ids_only(spark, tmp_path):
     assert broadcast_joins(spark, lambda: catalog.QUERIES["q76_near_dup_blocking"](spark, str(tmp_path)).collect()) <= {"LeftSemi"}
 
 
+def test_near_members_broadcast_ids_only(spark, tmp_path):
+    near_texts(spark, tmp_path)
+    assert broadcast_joins(spark, lambda: catalog.QUERIES["q77_near_dup_members"](spark, str(tmp_path)).collect()) <= {"LeftSemi"}
+
+
 def test_near_blocking_lengths(spark, tmp_path):
     base = " ".join(f"w{i}" for i in range(60))
     long = " ".join(f"palabra{i}" for i in range(3000))
